@@ -1,0 +1,19 @@
+"""All queries of the core, with their SQL where there is one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.plans import p_grid_orphans, p_instants
+
+MODULES = (p_instants, p_grid_orphans)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}

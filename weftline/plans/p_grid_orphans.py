@@ -1,0 +1,41 @@
+"""Queries of problems 2 and 3."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import orphans
+from weftline.operators.regular_grid import regular_grid
+from weftline.sources.tables import table
+
+FIELDS = ["pickup_location_id", "dropoff_location_id"]
+
+
+def p2_grid(spark: SparkSession, directory: str) -> DataFrame:
+    grid = regular_grid(table(spark, directory, "air_quality"), "site_number", "observation_datetime", "sample_measurement_pm25", 0.0, 1000.0)
+    return grid.select(F.col("source").alias("site_number"), (F.col("hour") * 3600).alias("hour_start_s"), F.col("value").alias("pm25"), "n_readings", "status")
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p2_grid(spark, directory).filter(F.col("status") != "observed").select("site_number", "hour_start_s")
+
+
+def _references(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    refs = orphans.references(table(spark, directory, "taxi_trips"), "row_id", FIELDS, "ingestion_timestamp")
+    return refs, orphans.parent_index(table(spark, directory, "taxi_zones"), "location_id", "listed_at", "delisted_at")
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """What new references find as they probe the index: those that begin to wait, or never had a parent."""
+    opened = orphans.advance(None, *_references(spark, directory)).opened
+    return opened.select(F.col("row_id").cast("bigint").alias("row_id"), "field_name", "kind", F.date_format("at", "yyyy-MM").alias("ingestion_month"))
+
+
+def p3_snapshots(spark: SparkSession, directory: str) -> DataFrame:
+    """The pending-orphan state at the end of each month, from one step over the whole tables."""
+    refs, index = _references(spark, directory)
+    return orphans.snapshots(orphans.advance(None, refs, index).moves)
+
+
+QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_snapshots": p3_snapshots}

@@ -1,0 +1,28 @@
+"""Queries of problem 1: every time as one UTC instant."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import instants
+from weftline.sources.tables import table
+
+SOURCES = {"taxi_trips": instants.trips, "weather": instants.weather, "air_quality": instants.air_quality}
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    parts = [instants.rewritten(f(table(spark, directory, t)), t) for t, f in SOURCES.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def p1_normalised(spark: SparkSession, directory: str) -> DataFrame:
+    """Every row of the three tables with its instant, or the reason why it has none."""
+    parts = [
+        f(table(spark, directory, t)).select(F.lit(t).alias("table_name"), "row_id", F.col("t_utc_us").alias("utc_us"), F.col("t_status").alias("status"))
+        for t, f in SOURCES.items()
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised}
