@@ -1,0 +1,86 @@
+"""Queries of problems 5 and 6."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import rejects
+from weftline.operators.dense_keys import per_key, regroup
+from weftline.sources.tables import table
+
+# The fields of the two kinds of files.
+LAYOUTS = {
+    "weather": ["year", "month", "day", "hour", "temp", "rhum", "prcp", "wdir", "wspd", "pres", "cldc", "coco"],
+    "air_quality": [
+        "State Code", "County Code", "Site Num", "Parameter Code", "POC", "Latitude", "Longitude", "Parameter Name",
+        "Date Local", "Time Local", "Date GMT", "Time GMT", "Sample Measurement", "Units of Measure", "State Name",
+        "County Name",
+    ],
+}
+CHECKED = ["hour", "Time GMT", "County Code"]
+
+
+def checked_lines(spark: SparkSession, directory: str, kept: list[str] | None = None) -> DataFrame:
+    fields = list(dict.fromkeys([*CHECKED, *(kept or [])]))
+    lines = rejects.parse_lines(table(spark, directory, "raw_lines"), "row_id", "dataset", "line_text", LAYOUTS, fields)
+    rules = {"bad_hour": (rejects.HOUR(F.col("hour")), "hour"), "bad_time_gmt": (rejects.CLOCK(F.col("`Time GMT`")), "Time GMT"), "bad_county_code": (rejects.COUNTY(F.col("`County Code`")), "County Code")}
+    return rejects.with_reasons(lines, rules, F.col("structure"))
+
+
+def checked_weather(spark: SparkSession, directory: str) -> DataFrame:
+    return rejects.with_reasons(table(spark, directory, "weather"), {"bad_hour": (rejects.HOUR(F.col("hour")), "hour")})
+
+
+def checked_air(spark: SparkSession, directory: str) -> DataFrame:
+    rules = {"bad_time_gmt": (rejects.CLOCK(F.col("time_gmt")), "time_gmt"), "bad_county_code": (rejects.COUNTY(F.col("county_code")), "county_code")}
+    return rejects.with_reasons(table(spark, directory, "air_quality"), rules)
+
+
+CHECKS = {"weather": checked_weather, "air_quality": checked_air, "raw_lines": checked_lines}
+
+
+def p5_rejects(spark: SparkSession, directory: str) -> DataFrame:
+    """The rejected rows of the three tables with their reasons."""
+    parts = [rejects.split_rows(f(spark, directory))[1].select(F.lit(t).alias("table_name"), F.col("row_id").cast("bigint").alias("row_id"), F.array_join("reasons", ";").alias("reason")) for t, f in CHECKS.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p5_rejects(spark, directory).select("table_name", "row_id")
+
+
+def p5_loaded(spark: SparkSession, directory: str) -> DataFrame:
+    """The valid lines, their fields as columns."""
+    names = [*LAYOUTS["weather"], *LAYOUTS["air_quality"]]
+    valid, _ = rejects.split_rows(checked_lines(spark, directory, names))
+    return valid.drop("structure").toDF(*("row_id", "dataset"), *(c.lower().replace(" ", "_") for c in valid.columns if c not in ("row_id", "dataset", "structure")))
+
+
+MEASURES = ["fare_amount", "tip_amount", "trip_distance"]
+
+
+def borough_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """The borough of each location, once: trimmed and lower case, the first by the alphabet if the rows differ."""
+    name = F.lower(F.trim("borough"))
+    zones = table(spark, directory, "taxi_zones").filter(F.col("location_id").isNotNull() & (name != ""))
+    return zones.groupBy(F.col("location_id").alias("key")).agg(F.min(name).alias("group"))
+
+
+def p6_by_key(spark: SparkSession, directory: str) -> DataFrame:
+    """Counts and sums per pickup location and per borough, with the share of all trips."""
+    places = per_key(table(spark, directory, "taxi_trips"), "pickup_location_id", MEASURES)
+    boroughs = regroup(places, borough_groups(spark, directory))
+    all_rows = places.agg(F.sum("rows").alias("all_rows"))
+    kinds = {"pickup_location_id": places, "borough": boroughs}
+    parts = [d.withColumns({"key_kind": F.lit(k), "key_value": F.col("key").cast("string")}).drop("key") for k, d in kinds.items()]
+    both = parts[0].unionByName(parts[1]).join(F.broadcast(all_rows), how="cross")  # one row
+    return both.select("key_kind", "key_value", F.col("rows").alias("n_rows"), (F.col("rows") / F.col("all_rows")).alias("share"), *(c for m in MEASURES for c in (f"n_{m}", F.round(f"sum_{m}", 2).alias(f"sum_{m}"))))
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    least = F.when(F.col("key_kind") == "borough", 0.15).otherwise(0.03)
+    return p6_by_key(spark, directory).filter(F.col("key_value").isNotNull() & (F.col("share") >= least)).select("key_kind", "key_value")
+
+
+QUERIES = {"p5_found": p5_found, "p5_rejects": p5_rejects, "p5_loaded": p5_loaded, "p6_found": p6_found, "p6_by_key": p6_by_key}
