@@ -70,7 +70,9 @@ def _components(value: Column, pattern: str) -> Column:
 
 
 def _number(parts: Column, kind: str, kept: str = "int") -> Column:
-    return parts[_FIELDS.index(kind)].try_cast(kept)
+    """A component as a number. The pattern lets digits alone through; a failing cast, even a try_cast, would cost microseconds."""
+    digits = parts[_FIELDS.index(kind)]
+    return F.when(digits != "", digits.cast(kept))
 
 
 def _text(parts: Column, kind: str) -> Column:
@@ -81,38 +83,48 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     """Days since 1970-01-01 of a valid date of the years 1 to 9999; years begin in March, so February comes last."""
     shifted = y - F.when(m <= 2, 1).otherwise(0)
     month = F.when(m > 2, m - 3).otherwise(m + 9)
-    whole = lambda a, b: F.floor(a / b)
+    whole = lambda a, b: (a - a % b) / b
     days = shifted * 365 + whole(shifted, 4) - whole(shifted, 100) + whole(shifted, 400)
     return (days + whole(month * 153 + 2, 5) + d - 1 - 719_468).cast("bigint")
 
 
-def _clock_fields(parts: Column) -> tuple[Column, Column]:
-    """Seconds of the day, null where the clock is out of range; offset in minutes, null without one."""
-    h, i, s = _number(parts, "h"), _number(parts, "i"), F.coalesce(_number(parts, "s"), F.lit(0))
-    half = _text(parts, "a")
+def _seconds(h: Column, i: Column, s: Column, half: Column) -> Column:
+    """Seconds of the day, null where the clock is out of range."""
     hour = F.when(half == "", F.when(h.between(0, 23), h)).when(h.between(1, 12), h % 12 + F.when(half == "p", 12).otherwise(0))
-    seconds = F.when(i.between(0, 59) & s.between(0, 59), hour * 3600 + i * 60 + s)
-    offset, name = parts[_FIELDS.index("o")], _text(parts, "z")
+    return F.when(i.between(0, 59) & F.coalesce(s, F.lit(0)).between(0, 59), hour * 3600 + i * 60 + F.coalesce(s, F.lit(0)))
+
+
+def _offset(offset: Column, name: Column) -> Column:
+    """Offset in minutes, null without one."""
     digits = F.regexp_replace(F.substring(offset, 2, 5), ":", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    fixed = F.lit(None).cast("int")
-    for abbreviation, value in ABBREVIATIONS.items():
-        fixed = F.when(name == abbreviation, F.lit(value)).otherwise(fixed)
-    return seconds, F.when(offset != "", minutes * F.when(offset.startswith("-"), -1).otherwise(1)).otherwise(fixed)
+    minutes = F.substring(digits, 1, 2).cast("int") * 60 + F.when(F.length(digits) > 2, F.substring(digits, 3, 2).cast("int")).otherwise(0)
+    return F.when(offset != "", minutes * F.when(offset.startswith("-"), -1).otherwise(1)).when(name != "", _looked_up(ABBREVIATIONS, name))
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    """The key's value in a small table, or null.
+
+    A lambda also ends the span of whole-stage code, on purpose: as one span, all steps would be a single method, too long
+    for the JVM to compile, and run at half the speed.
+    """
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()))
+    return F.get(F.filter(pairs, lambda x: x["k"] == key), 0)["v"]
 
 
 def names_clock(value: Column) -> Column:
     """Whether a text names a time of day: hour 0-23, or 1-12 with AM or PM, minute and second 0-59. Null for null."""
     parts = _components(value, CLOCK_PATTERN)
-    seconds, _ = _clock_fields(parts)
+    seconds = _seconds(_number(parts, "h"), _number(parts, "i"), _number(parts, "s"), _text(parts, "a"))
     zone = parts[_FIELDS.index("w")]
     known = (zone == "") | F.lower(zone).isin([z.lower() for z in ZONE_NAMES])
     return F.when(value.isNotNull(), F.coalesce(seconds.isNotNull() & known, F.lit(False)))
 
 
-def _shifted(us: Column, zone: Column) -> Column:
-    """Wall-clock microseconds in a zone at an instant."""
-    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+def _shifted(us: Column, zone: Column, usual: str) -> Column:
+    """Wall-clock microseconds in a zone at an instant; the usual zone is a literal, so it isn't looked up row by row."""
+    at = F.timestamp_micros(us)
+    own = at if usual == "Etc/UTC" else F.from_utc_timestamp(at, F.lit(usual))
+    return F.unix_micros(F.when(zone == usual, own).otherwise(F.from_utc_timestamp(at, zone)))
 
 
 def with_instant(df: DataFrame, value: Column, default_zone: str, prefix: str = "t") -> DataFrame:
@@ -127,39 +139,45 @@ def with_instant(df: DataFrame, value: Column, default_zone: str, prefix: str =
     df = df.withColumn(p + "text", value)
     df = df.withColumn(p + "parts", _components(F.col(p + "text"), INSTANT_PATTERN))
     parts = F.col(p + "parts")
-    y, d, n = _number(parts, "y"), _number(parts, "d"), _number(parts, "n")
-    name = F.substring(_text(parts, "m"), 1, 3)
-    m = F.coalesce(_number(parts, "m"), F.when(F.length(name) == 3, ((F.position(name, F.lit(MONTHS)) + 3) / 4).cast("int")))
-    seconds, offset = _clock_fields(parts)
+    name = F.substring(_text(parts, "m"), 1, 3)  # a number has at most two digits, a name at least three letters
+    named_month = F.when(F.length(name) == 3, ((F.position(name, F.lit(MONTHS)) + 3) / 4).cast("int"))
+    # Small steps: the code made for a large one would be too long for the JVM to compile.
+    df = df.select("*", *(_number(parts, k).alias(p + k) for k in "ydn"), F.coalesce(named_month, F.when(F.length(name) < 3, _number(parts, "m"))).alias(p + "m"))
+    df = df.select("*", *(_number(parts, k).alias(p + k) for k in "his"), _text(parts, "a").alias(p + "half"))
+    fraction = parts[_FIELDS.index("f")]
+    df = df.select(
+        "*",
+        _seconds(*(F.col(p + k) for k in ("h", "i", "s", "half"))).cast("bigint").alias(p + "seconds"),
+        F.when(fraction != "", F.rpad(fraction, 6, "0").cast("int")).otherwise(0).alias(p + "micro"),
+    )
     df = df.select(
         "*",
-        *(c.alias(p + k) for k, c in {"y": y, "m": m, "d": d, "n": n, "seconds": seconds.cast("bigint"), "offset": offset.cast("bigint")}.items()),
-        F.rpad(parts[_FIELDS.index("f")], 6, "0").try_cast("int").alias(p + "micro"),
+        _offset(parts[_FIELDS.index("o")], _text(parts, "z")).cast("bigint").alias(p + "offset"),
         _number(parts, "u", "bigint").alias(p + "unix"),
         F.length(parts[_FIELDS.index("u")]).alias(p + "digits"),
         parts[_FIELDS.index("w")].alias(p + "named"),
     )
     y, m, d, n = (F.col(p + k) for k in "ymdn")
+    # A day of the year is that day of a long January.
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    length = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    year_day = F.when(n.between(1, F.when(leap, 366).otherwise(365)), days_from_civil(y, F.lit(1), F.lit(1)) + n - 1)
-    day = F.when(y >= 1, F.coalesce(year_day, F.when(m.between(1, 12) & d.between(1, length), days_from_civil(y, m, d))))
-    wall = day * DAY_US + F.col(p + "seconds") * 1_000_000 + F.coalesce(F.col(p + "micro"), F.lit(0))
+    length = F.when(n.isNotNull(), F.when(leap, 366).otherwise(365)).when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    df = df.select("*", length.alias(p + "length"), F.coalesce(n, d).alias(p + "date"), F.when(n.isNotNull(), 1).otherwise(m).alias(p + "month"))
+    month, date = F.col(p + "month"), F.col(p + "date")
+    day = F.when((y >= 1) & month.between(1, 12) & date.between(1, F.col(p + "length")), days_from_civil(y, month, date))
+    df = df.select("*", day.alias(p + "day"))
+    wall = F.col(p + "day") * DAY_US + F.col(p + "seconds") * 1_000_000 + F.col(p + "micro")
     unix = F.col(p + "unix") * F.when(F.col(p + "digits") <= 11, 1_000_000).otherwise(1_000)
     zones = {z.lower(): z for z in ZONE_NAMES} | {default_zone.lower(): default_zone}
-    named = F.lit(None).cast("string")
-    for low, z in zones.items():
-        named = F.when(F.lower(F.col(p + "named")) == low, F.lit(z)).otherwise(named)
-    zone = F.when(F.col(p + "named") == "", F.lit(default_zone)).otherwise(named)
+    zone = F.when(F.col(p + "named") == "", F.lit(default_zone)).otherwise(_looked_up(zones, F.lower(F.col(p + "named"))))
     df = df.select("*", wall.alias(p + "wall"), unix.alias(p + "instant"), zone.alias(p + "zone"))
     wall, zone, offset = F.col(p + "wall"), F.col(p + "zone"), F.col(p + "offset")
     bare = F.col(p + "instant").isNull() & offset.isNull() & wall.isNotNull()
     # The zone's offset a day before and after; where they differ, a change is near and both are tried.
-    before = F.when(bare, _shifted(wall - DAY_US, zone) - (wall - DAY_US))
-    after = F.when(bare, _shifted(wall + DAY_US, zone) - (wall + DAY_US))
+    before = F.when(bare, _shifted(wall - DAY_US, zone, default_zone) - (wall - DAY_US))
+    after = F.when(bare, _shifted(wall + DAY_US, zone, default_zone) - (wall + DAY_US))
     df = df.select("*", before.alias(p + "before"), after.alias(p + "after"))
     before, after = F.col(p + "before"), F.col(p + "after")
-    holds = lambda c: _shifted(wall - c, zone) == wall
+    holds = lambda c: _shifted(wall - c, zone, default_zone) == wall
     near = before != after
     df = df.select("*", F.when(near, holds(before)).alias(p + "first"), F.when(near, holds(after)).alias(p + "second"))
     first, second = F.col(p + "first"), F.col(p + "second")
