@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.cutting import oversized
 from weftline.llm.encode import decode_corpus, encode_corpus
+from weftline.llm.mixing import mix_sources, shares
 from weftline.sources.tables import table
 
 
@@ -18,5 +20,29 @@ def p7_decoded(spark: SparkSession, directory: str) -> DataFrame:
     return decode_corpus(p7_ids(spark, directory))
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded}
+def _mix(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mix(spark, directory)[0]
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The share that each source was to have, and the one it has."""
+    return shares(*_mix(spark, directory))
+
+
+def p9_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of all documents of more than 1,024 tokens."""
+    return oversized(table(spark, directory, "documents"))
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that had to be cut: those with a second piece."""
+    return p9_pieces(spark, directory).filter(F.col("piece_no") == 1).select("doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
