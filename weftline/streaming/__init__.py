@@ -1 +1 @@
-
+"""What arrives bit by bit."""
