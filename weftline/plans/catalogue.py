@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import p_grid_orphans, p_impute, p_instants, p_rejects_keys
+from weftline.plans import p_grid_orphans, p_impute, p_instants, p_rejects_keys, q_queries
 
-MODULES = (p_instants, p_grid_orphans, p_impute, p_rejects_keys)
+MODULES = (p_instants, p_grid_orphans, p_impute, p_rejects_keys, q_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,349 @@
+"""One query or more for each of the engine's own operators, over whole tables, with SQL that gives the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import columns as C
+from weftline.operators import enrich, quality, standardize
+from weftline.plans import contracts, ingest, integrate, layouts, products
+from weftline.sources.tables import table
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def classified(spark: SparkSession, d: str, name: str) -> DataFrame:
+    spec = contracts.ALL[name](f"{d}/{name}.parquet")
+    return ingest.classified(table(spark, d, name), spec)
+
+
+def clean(spark: SparkSession, d: str, name: str) -> DataFrame:
+    spec = contracts.ALL[name](f"{d}/{name}.parquet")
+    return ingest.clean(ingest.classified(table(spark, d, name), spec), spec)
+
+
+# The same contracts in SQL.
+_PLAIN = r"'\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}'"
+# By the text of the number: statistics of the files, which leave NaN out, would let isnan() be folded to false.
+_FINITE = "({0} IS NOT NULL AND {0} >= 0 AND CAST({0} AS VARCHAR) NOT IN ('nan', 'inf'))"
+TRIPS = f"""
+t0 AS (SELECT * REPLACE (coalesce(passenger_count, 1) AS passenger_count, coalesce(tip_amount, 0) AS tip_amount, coalesce(tolls_amount, 0) AS tolls_amount),
+  CASE WHEN regexp_full_match(pickup_datetime, {_PLAIN}) THEN try_strptime(pickup_datetime, '%Y-%m-%d %H:%M:%S') END AS p,
+  CASE WHEN regexp_full_match(dropoff_datetime, {_PLAIN}) THEN try_strptime(dropoff_datetime, '%Y-%m-%d %H:%M:%S') END AS q FROM taxi_trips),
+t1 AS (SELECT *, timezone('America/New_York', p) AS pu, timezone('America/New_York', q) AS qu FROM t0),
+t2 AS (SELECT *, round((epoch(qu) - epoch(pu)) / 60.0, 2) AS minutes, timezone('America/New_York', pu) = p AS p_ok, timezone('America/New_York', qu) = q AS q_ok FROM t1),
+t3 AS (SELECT *, concat_ws(';',
+  CASE WHEN NOT coalesce(p_ok, false) THEN 'valid_pickup_time' END,
+  CASE WHEN NOT coalesce(q_ok, false) THEN 'valid_dropoff_time' END,
+  CASE WHEN NOT coalesce(minutes > 0.1 AND minutes <= 1440, false) THEN 'valid_duration' END,
+  CASE WHEN NOT coalesce(year(p) = 2024 AND month(p) BETWEEN 1 AND 3, false) THEN 'valid_period' END,
+  CASE WHEN NOT coalesce(fare_amount BETWEEN 0 AND 5000, false) THEN 'valid_fare' END,
+  CASE WHEN NOT {_FINITE.format('total_amount')} THEN 'valid_total' END,
+  CASE WHEN NOT coalesce(trip_distance BETWEEN 0 AND 500, false) THEN 'valid_distance' END,
+  CASE WHEN NOT coalesce(passenger_count BETWEEN 0 AND 10, false) THEN 'valid_passengers' END,
+  CASE WHEN pickup_location_id IS NULL OR dropoff_location_id IS NULL THEN 'present_locations' END,
+  CASE WHEN NOT {_FINITE.format('tip_amount')} THEN 'valid_tip_amount' END,
+  CASE WHEN NOT {_FINITE.format('tolls_amount')} THEN 'valid_tolls_amount' END) AS errors FROM t2),
+t4 AS (SELECT *, CASE WHEN errors = '' THEN row_number() OVER (PARTITION BY errors = '', vendor_id, pu, qu, pickup_location_id, dropoff_location_id, fare_amount, trip_distance ORDER BY row_id) ELSE 1 END AS rk FROM t3),
+trips_judged AS (SELECT *, CASE WHEN errors <> '' THEN errors WHEN rk > 1 THEN 'duplicate_key' END AS reason FROM t4),
+trips AS (SELECT *, p AS pickup_local, p::date AS pickup_date, year(p) AS pickup_year, month(p) AS pickup_month, minutes AS trip_duration_minutes FROM trips_judged WHERE reason IS NULL)"""
+_TITLE = "array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(trim(borough)), ' ')], ' ')"
+ZONES = f"""
+z0 AS (SELECT location_id, {_TITLE} AS borough, trim(zone) AS zone, service_zone, listed_at FROM taxi_zones WHERE location_id IS NOT NULL AND trim(borough) <> ''),
+zones AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY listed_at NULLS FIRST, zone NULLS FIRST, borough, service_zone NULLS FIRST) AS rk FROM z0) WHERE rk = 1)"""
+AIR = """
+a0 AS (SELECT *, CASE WHEN regexp_full_match(trim(county_code), '[+-]?\\d+') THEN try_cast(trim(county_code) AS INT) END AS county FROM air_quality),
+a1 AS (SELECT *, CASE county WHEN 5 THEN 'Bronx' WHEN 47 THEN 'Brooklyn' WHEN 61 THEN 'Manhattan' WHEN 81 THEN 'Queens' WHEN 85 THEN 'Staten Island' END AS borough,
+  CASE WHEN regexp_full_match(date_gmt, '\\d{4}-\\d{2}-\\d{2}') AND regexp_full_match(time_gmt, '\\d{2}:\\d{2}') THEN try_strptime(date_gmt || ' ' || time_gmt, '%Y-%m-%d %H:%M') END AS seen
+  FROM a0 WHERE coalesce(state_code = 36 AND county IN (5, 47, 61, 81, 85), true)),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY state_code, county, site_number, poc, seen ORDER BY row_id) AS rk FROM a1
+  WHERE year(seen) = 2024 AND sample_measurement_pm25 BETWEEN 0 AND 1000 AND borough IS NOT NULL AND site_number IS NOT NULL AND poc IS NOT NULL),
+air AS (SELECT * FROM a2 WHERE rk = 1),
+sites AS (SELECT date_trunc('hour', seen) AS h, borough, state_code, county, site_number, avg(sample_measurement_pm25) AS m FROM air GROUP BY ALL),
+levels AS (SELECT h, borough, avg(m) AS level FROM sites GROUP BY ALL),
+city AS (SELECT h, avg(m) AS level FROM sites GROUP BY ALL)"""
+
+
+def ntz(c: str):
+    return F.col(c).cast("timestamp_ntz")
+
+
+@query("SELECT n_nationkey AS nation_key, n_name AS nation_name, n_regionkey FROM nation")
+def q01_renamed(spark, d):
+    return standardize.renamed(table(spark, d, "nation"), {"n_nationkey": "nation_key", "n_name": "nation_name"})
+
+
+@query(r"""SELECT row_id, CASE WHEN regexp_full_match(trim(hour), '[+-]?\d+') THEN try_cast(trim(hour) AS INT) END AS hour,
+ CASE WHEN hour IS NOT NULL AND NOT regexp_full_match(trim(hour), '[+-]?\d+') THEN 'invalid_type:hour' ELSE '' END AS errors FROM weather""")
+def q02_safe_cast(spark, d):
+    df = standardize.safe_cast(table(spark, d, "weather").select("row_id", "hour"), {"hour": "int"})
+    return df.select("row_id", "hour", F.array_join("_cast_errors", ";").alias("errors"))
+
+
+@query("""SELECT CASE WHEN NOT l_quantity BETWEEN 1 AND 40 THEN 'quantity' END AS a, CASE WHEN NOT l_discount <= 0.08 THEN 'discount' END AS b, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL""")
+def q03_rules(spark, d):
+    df = quality.with_errors(table(spark, d, "lineitem"), {"quantity": "l_quantity BETWEEN 1 AND 40", "discount": "l_discount <= 0.08"})
+    has = lambda n: F.when(F.array_contains("_validation_errors", n), n)
+    return df.groupBy(has("quantity").alias("a"), has("discount").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TRIPS} SELECT reason, CAST(count(*) AS BIGINT) AS n_rows FROM trips_judged WHERE reason IS NOT NULL GROUP BY reason")
+def q04_reasons(spark, d):
+    return quality.rejected(classified(spark, d, "taxi_trips")).groupBy(F.col("_rejection_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate) AS rk FROM lineitem) WHERE rk = 1""")
+def q05_first_by_key(spark, d):
+    df = quality.first_by_key(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in ("l_partkey", "l_suppkey", "l_shipdate")])
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(f"WITH {TRIPS} SELECT CAST(count(*) AS BIGINT) AS scoped, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS valid, CAST(count(reason) AS BIGINT) AS rejected, CAST(count(*) FILTER (reason = 'duplicate_key') AS BIGINT) AS duplicates FROM trips_judged")
+def q06_account(spark, d):
+    return quality.totals(classified(spark, d, "taxi_trips"))
+
+
+@query(f"WITH {AIR} SELECT county, CAST(count(*) AS BIGINT) AS n FROM a1 GROUP BY county")
+def q07_scope(spark, d):
+    df = ingest.prepared(table(spark, d, "air_quality"), contracts.air_quality(d))
+    return df.groupBy(F.col("county_code").alias("county")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT row_id, coalesce(passenger_count, 1) AS passenger_count, coalesce(tolls_amount, 0.0) AS tolls_amount FROM taxi_trips")
+def q08_defaults(spark, d):
+    return standardize.with_defaults(table(spark, d, "taxi_trips").select("row_id", "passenger_count", "tolls_amount"), {"passenger_count": 1, "tolls_amount": 0.0})
+
+
+@query("SELECT row_id, CASE WHEN location_id IS NULL THEN 'missing_key:location_id' ELSE '' END || CASE WHEN location_id IS NULL AND false THEN ';' ELSE '' END AS errors FROM (SELECT doc_id AS row_id, location_id FROM documents)")
+def q09_missing_key(spark, d):
+    df = quality.with_errors(table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "location_id"), {}, ["location_id"])
+    return df.select("row_id", F.array_join("_validation_errors", ";").alias("errors"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'final' END AS status FROM orders")
+def q10_mapped(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", C.mapped(F.col("o_orderstatus"), {"O": "open", "F": "final"}).alias("status"))
+
+
+@query("SELECT event_id, CAST(ts AS DATE) AS ts_date, CAST(year(ts) AS INT) AS ts_year, CAST(month(ts) AS INT) AS ts_month, CAST(day(ts) AS INT) AS ts_day, CAST(hour(ts) AS INT) AS ts_hour FROM events")
+def q11_calendar(spark, d):
+    return table(spark, d, "events").select("event_id", *(c.alias(n) for n, c in C.calendar(F.col("ts"), "ts").items()))
+
+
+@query("SELECT event_id, CAST(timezone('UTC', timezone('America/New_York', ts)) AS TIMESTAMP) AS utc, timezone('America/New_York', timezone('America/New_York', ts)) = ts AS exists_locally FROM events")
+def q12_utc(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    zone = "America/New_York"
+    return table(spark, d, "events").select("event_id", C.utc_of(ts, zone).cast("timestamp_ntz").alias("utc"), C.local_exists(ts, zone).alias("exists_locally"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round((epoch(l_shipdate) - epoch(o_orderdate)) / 60.0, 2) AS minutes FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def q13_minutes(spark, d):
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select("l_orderkey", "l_linenumber", "l_partkey", C.minutes_between(F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp")).alias("minutes"))
+
+
+@query("SELECT o_orderkey, sha256(concat_ws('||', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus)) AS id FROM orders")
+def q14_hash_key(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", C.hash_key([F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")]).alias("id"))
+
+
+@query(r"""SELECT row_id, lpad(CAST(year AS VARCHAR), 4, '0') || '_' || lpad(CAST(month AS VARCHAR), 2, '0') || '_' || lpad(CAST(day AS VARCHAR), 2, '0') || '_' || lpad(h, 2, '0') AS id
+ FROM (SELECT *, CASE WHEN regexp_full_match(trim(hour), '[0-9]+') THEN CAST(CAST(trim(hour) AS INT) AS VARCHAR) END AS h FROM weather)""")
+def q15_calendar_key(spark, d):
+    hour = F.when(F.trim("hour").rlike("^[0-9]+$"), F.trim("hour").cast("int"))
+    return table(spark, d, "weather").select("row_id", C.calendar_key(F.col("year"), F.col("month"), F.col("day"), hour).alias("id"))
+
+
+@query(f"""WITH {ZONES} SELECT t.row_id, coalesce(z.borough, 'Unknown') AS pickup_borough, coalesce(z.zone, 'Unknown') AS pickup_zone, z.service_zone AS pickup_service_zone, z.location_id IS NOT NULL AS pickup_zone_matched
+ FROM taxi_trips t LEFT JOIN zones z ON t.pickup_location_id = z.location_id""")
+def q16_zone_lookup(spark, d):
+    names = {f"pickup_{c}": c for c in ("borough", "zone", "service_zone")}
+    trips = table(spark, d, "taxi_trips").select("row_id", "pickup_location_id")
+    df = enrich.looked_up(trips, enrich.broadcast_if_small(clean(spark, d, "taxi_zones")), {"pickup_location_id": "location_id"}, names, "pickup_zone_matched")
+    return enrich.labelled(df, ["pickup_borough", "pickup_zone"]).drop("pickup_location_id")
+
+
+@query("""WITH w AS (SELECT date_trunc('hour', ts) AS h, round(avg(value), 4) AS mean_value FROM events WHERE event_type = 'error' GROUP BY 1)
+ SELECT event_id, mean_value, h IS NOT NULL AS matched, mean_value IS NULL AS value_missing FROM events LEFT JOIN w ON date_trunc('hour', ts) = h""")
+def q17_hourly_lookup(spark, d):
+    events = table(spark, d, "events").withColumn("_hour", C.hour_bucket(F.col("ts")))
+    hourly = events.filter("event_type = 'error'").groupBy("_hour").agg(F.round(F.avg("value"), 4).alias("mean_value"))
+    df = enrich.looked_up(events, hourly, {"_hour": "_hour"}, {"mean_value": "mean_value"}, "matched")
+    return df.select("event_id", "mean_value", "matched", F.col("mean_value").isNull().alias("value_missing"))
+
+
+def _air(spark, d) -> integrate.Air:
+    return integrate.air_levels(clean(spark, d, "air_quality"))
+
+
+def _sites(spark, d) -> DataFrame:
+    hourly = clean(spark, d, "air_quality").withColumn("air_hour", C.hour_bucket(F.col("observation_datetime")))
+    return enrich.unit_means(hourly, ["state_code", "county_code", "site_number"], ["air_hour", "borough"], "sample_measurement_pm25")
+
+
+# Means are compared to 4 decimals after adding 1e-9, as ties are common and the engines differ in the last bit; the
+# operators themselves round to 2 decimals without that.
+@query(f"WITH {AIR} SELECT h AS air_hour, borough, site_number, round(m + 1e-9, 4) AS site_mean FROM sites")
+def q18_site_means(spark, d):
+    return _sites(spark, d).select(ntz("air_hour").alias("air_hour"), "borough", "site_number", F.round(F.col("unit_mean") + 1e-9, 4).alias("site_mean"))
+
+
+@query(f"WITH {AIR} SELECT h AS air_hour, borough, round(level + 1e-9, 4) AS level FROM levels")
+def q19_borough_means(spark, d):
+    df = enrich.level_means(_sites(spark, d), ["air_hour", "borough"], "level", 12)
+    return df.select(ntz("air_hour").alias("air_hour"), "borough", F.round(F.col("level") + 1e-9, 4).alias("level"))
+
+
+@query(f"WITH {AIR} SELECT h AS air_hour, round(level + 1e-9, 4) AS level FROM city")
+def q20_city_means(spark, d):
+    df = enrich.level_means(_sites(spark, d), ["air_hour"], "level", 12)
+    return df.select(ntz("air_hour").alias("air_hour"), F.round(F.col("level") + 1e-9, 4).alias("level"))
+
+
+_JOINED = """
+j AS (SELECT t.*, coalesce(z.borough, 'Unknown') AS pickup_borough, z.location_id IS NOT NULL AS zone_matched, l.level AS lb, c.level AS lc FROM trips t
+ LEFT JOIN zones z ON t.pickup_location_id = z.location_id
+ LEFT JOIN levels l ON date_trunc('hour', timezone('UTC', t.pu)) = l.h AND l.borough = coalesce(z.borough, 'Unknown')
+ LEFT JOIN city c ON date_trunc('hour', timezone('UTC', t.pu)) = c.h)"""
+
+
+def _enriched(spark, d) -> DataFrame:
+    """Clean trips with the place and air of their pickup; weather by the first station, so that an hour has one row."""
+    weather = quality.first_by_key(clean(spark, d, "weather"), ["observation_datetime"], [F.col("station_id")])
+    return integrate.with_context(clean(spark, d, "taxi_trips"), "pickup", F.col("pickup_datetime"), clean(spark, d, "taxi_zones"), weather, _air(spark, d), True)
+
+
+@query(f"""WITH {TRIPS}, {ZONES}, {AIR}, {_JOINED} SELECT pickup_borough, CASE WHEN lb IS NOT NULL THEN 'borough' WHEN lc IS NOT NULL THEN 'citywide' ELSE 'missing' END AS source, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY ALL""")
+def q21_fallback(spark, d):
+    return _enriched(spark, d).groupBy("pickup_borough", F.col("pickup_pm25_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'trips' AS side, CAST(row_id AS BIGINT) AS id FROM taxi_trips WHERE row_id NOT IN (SELECT row_id FROM integrated) UNION ALL SELECT 'integrated', row_id FROM integrated WHERE row_id NOT IN (SELECT row_id FROM taxi_trips)""")
+def q22_anti_both_ways(spark, d):
+    a, b = table(spark, d, "taxi_trips").select("row_id"), table(spark, d, "integrated").select("row_id")
+    side = lambda x, y, n: x.join(y, "row_id", "left_anti").select(F.lit(n).alias("side"), F.col("row_id").alias("id"))
+    return side(a, b, "trips").unionAll(side(b, a, "integrated"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_keys FROM lineitem")
+def q23_distinct(spark, d):
+    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("l_orderkey").alias("n_keys"))
+
+
+@query(f"""WITH {TRIPS}, {ZONES}, {AIR}, {_JOINED} SELECT CAST(count(*) FILTER (lb IS NOT NULL) AS BIGINT) AS pickup_pm25_source_borough_rows, CAST(count(*) FILTER (lb IS NULL AND lc IS NOT NULL) AS BIGINT) AS pickup_pm25_source_citywide_rows,
+ CAST(count(*) FILTER (lb IS NULL AND lc IS NULL) AS BIGINT) AS pickup_pm25_source_missing_rows, CAST(count(*) FILTER (zone_matched) AS BIGINT) AS pickup_zone_matched_rows FROM j""")
+def q24_coverage(spark, d):
+    return enrich.coverage(_enriched(spark, d), ["pickup_pm25_source"], ["pickup_zone_matched"], integrate.LABELS)
+
+
+def _layout_query(name: str, rounded: tuple[str, ...] = ()):
+    def run(spark, d):
+        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": clean(spark, d, "taxi_trips"), "zones": clean(spark, d, "taxi_zones")})
+        return df.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in rounded})
+
+    return run
+
+
+def _grouped(values: str, where: str = "") -> str:
+    return f"WITH {TRIPS}, {ZONES} SELECT coalesce(z.borough, 'Unknown') AS pickup_borough, {values} FROM trips t LEFT JOIN zones z ON t.pickup_location_id = z.location_id {where} GROUP BY 1"
+
+
+_COUNT, _FARE = "CAST(count(*) AS BIGINT) AS trip_count", "round(avg(fare_amount) + 1e-9, 4) AS avg_fare"
+for _name, _of, _rounded, _sql in (
+    ("q25_trips_per_borough", "trips_per_borough", (), _grouped(_COUNT)),
+    ("q26_duration_per_day", "duration_per_day", ("avg_duration",), f"WITH {TRIPS} SELECT pickup_date, round(avg(trip_duration_minutes) + 1e-9, 4) AS avg_duration FROM trips GROUP BY 1"),
+    ("q27_fare_per_borough", "fare_per_borough", ("avg_fare",), _grouped(_FARE)),
+    ("q28_one_day", "one_day", ("avg_fare",), _grouped(f"{_COUNT}, {_FARE}", "WHERE pickup_date = DATE '2024-02-14'")),
+    ("q29_one_month", "one_month", ("avg_fare",), _grouped(f"{_COUNT}, {_FARE}", "WHERE pickup_year = 2024 AND pickup_month = 2")),
+):
+    QUERIES[_name], SQL[_name] = _layout_query(_of, _rounded), _sql
+
+_CONDITION = "CASE WHEN precipitation_mm > 0 THEN CASE WHEN temperature_c <= 0 THEN 'snow' ELSE 'rain' END WHEN temperature_c < 0 THEN 'freezing' WHEN precipitation_mm IS NULL AND temperature_c IS NULL THEN 'unknown' ELSE 'dry' END"
+
+
+def _condition():
+    return products.weather_condition("precipitation_mm", "temperature_c")
+
+
+@query("SELECT pickup_location_id AS zone, strftime(observation_hour, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS trip_count FROM integrated GROUP BY 1, 2")
+def q30_monthly_demand(spark, d):
+    return products.monthly_demand(table(spark, d, "integrated"), "pickup_location_id", "observation_hour")
+
+
+@query(f"SELECT {_CONDITION} AS condition, round(avg(trip_duration_minutes) + 1e-9, 4) AS avg_minutes, CAST(count(*) AS BIGINT) AS trip_count FROM integrated WHERE trip_duration_minutes BETWEEN 0 AND 1440 GROUP BY 1")
+def q31_mean_by_weather(spark, d):
+    df = table(spark, d, "integrated").filter("trip_duration_minutes BETWEEN 0 AND 1440")
+    return products.mean_by_condition(df, _condition(), "trip_duration_minutes", "avg_minutes", 12).withColumn("avg_minutes", F.round(F.col("avg_minutes") + 1e-9, 4))
+
+
+@query("""WITH h AS (SELECT CAST(floor(pm25_citywide / 2.5) AS INT) AS band, observation_hour, count(*) AS n FROM integrated WHERE pm25_citywide BETWEEN 0 AND 1000 GROUP BY 1, 2)
+ SELECT band, CAST(sum(n) AS BIGINT) AS trip_count, CAST(count(*) AS BIGINT) AS n_hours, round(avg(n) + 1e-9, 4) AS trips_per_hour FROM h GROUP BY 1""")
+def q32_demand_by_air(spark, d):
+    df = products.demand_by_level(table(spark, d, "integrated").filter("pm25_citywide BETWEEN 0 AND 1000"), "pm25_citywide", "observation_hour")
+    return df.withColumn("trips_per_hour", F.round(F.col("trip_count") / F.col("n_hours") + 1e-9, 4))
+
+
+@query(f"""WITH h AS (SELECT pickup_location_id AS zone, {_CONDITION} AS condition, observation_hour AS hour, count(*) AS n FROM integrated GROUP BY ALL), r AS (SELECT zone, condition, sum(n) / count(*) AS rate FROM h GROUP BY ALL),
+ s AS (SELECT zone, round(max(rate) - min(rate), 6) AS spread, CAST(count(*) AS BIGINT) AS n_conditions FROM r GROUP BY ALL)
+ SELECT * FROM (SELECT zone, spread, n_conditions, CAST(row_number() OVER (ORDER BY spread DESC, zone NULLS LAST) AS INT) AS position FROM s) WHERE position <= 20""")
+def q33_demand_variation(spark, d):
+    return products.demand_variation(table(spark, d, "integrated"), "pickup_location_id", _condition(), "observation_hour", 20)
+
+
+@query("""SELECT weekday, hour, trip_count FROM (SELECT *, row_number() OVER (PARTITION BY weekday ORDER BY trip_count DESC, hour) AS r FROM
+ (SELECT CAST(dayofweek(observation_hour) + 1 AS INT) AS weekday, CAST(hour(observation_hour) AS INT) AS hour, CAST(count(*) AS BIGINT) AS trip_count FROM integrated GROUP BY 1, 2)) WHERE r = 1""")
+def q34_peak_hours(spark, d):
+    return products.peak_hours(table(spark, d, "integrated"), "observation_hour")
+
+
+@query("""SELECT month, trip_count, trip_count - lag(trip_count) OVER (ORDER BY month) AS change, round((trip_count - lag(trip_count) OVER (ORDER BY month)) * 100.0::DOUBLE / lag(trip_count) OVER (ORDER BY month), 4) AS change_pct
+ FROM (SELECT strftime(observation_hour, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS trip_count FROM integrated GROUP BY 1)""")
+def q35_monthly_trend(spark, d):
+    return products.monthly_trend(table(spark, d, "integrated"), "observation_hour")
+
+
+@query("SELECT CAST(observation_hour AS DATE) AS day, CAST(count(*) AS BIGINT) AS trip_count, round(avg(temperature_c) + 1e-9, 4) AS avg_temperature_c FROM integrated GROUP BY 1")
+def q36_daily_summary(spark, d):
+    df = products.daily_summary(table(spark, d, "integrated").withColumn("temperature_c", F.col("temperature_c") + 1e-9), "observation_hour", ["temperature_c"])
+    return df
+
+
+@query("SELECT lower(trim(pickup_borough)) AS label, CAST(count(*) AS BIGINT) AS trip_count, round(avg(fare_amount) + 1e-9, 4) AS avg_fare_amount FROM integrated WHERE fare_amount BETWEEN 0 AND 5000 GROUP BY 1")
+def q37_borough_summary(spark, d):
+    df = table(spark, d, "integrated").filter("fare_amount BETWEEN 0 AND 5000").withColumns({"label": F.lower(F.trim("pickup_borough")), "fare_amount": F.col("fare_amount") + 1e-9})
+    return products.label_summary(df, "label", ["fare_amount"])
+
+
+@query("SELECT pickup_location_id AS label, CAST(count(*) AS BIGINT) AS trip_count, round(avg(trip_distance) + 1e-9, 4) AS avg_trip_distance FROM taxi_trips WHERE trip_distance BETWEEN 0 AND 500 GROUP BY 1")
+def q38_zone_summary(spark, d):
+    df = table(spark, d, "taxi_trips").filter("trip_distance BETWEEN 0 AND 500").withColumn("trip_distance", F.col("trip_distance") + 1e-9)
+    return products.label_summary(df, "pickup_location_id", ["trip_distance"])
+
+
+@query("SELECT row_id, pickup_location_id FROM taxi_trips WHERE pickup_location_id IS NOT NULL AND pickup_location_id NOT IN (SELECT location_id FROM taxi_zones WHERE location_id IS NOT NULL)")
+def q39_missing_references(spark, d):
+    return quality.missing_references(table(spark, d, "taxi_trips").select("row_id", "pickup_location_id"), "pickup_location_id", table(spark, d, "taxi_zones"), "location_id")
+
+
+@query(f"WITH {TRIPS} SELECT r AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT unnest(string_split(reason, ';')) AS r FROM trips_judged WHERE reason IS NOT NULL) GROUP BY 1")
+def q40_single_reasons(spark, d):
+    return quality.reason_counts(classified(spark, d, "taxi_trips"))
+
+
+@query()
+def q41_integrated(spark, d):
+    """Trips with the context of both ends; the account of its coverage is q24's."""
+    weather = quality.first_by_key(clean(spark, d, "weather"), ["observation_datetime"], [F.col("station_id")])
+    return integrate.integrated(clean(spark, d, "taxi_trips"), clean(spark, d, "taxi_zones"), weather, clean(spark, d, "air_quality"))
