@@ -39,3 +39,16 @@ def p3_snapshots(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p3_found": p3_found, "p3_snapshots": p3_snapshots}
+
+_HOURS = """SELECT DISTINCT site_number AS s, CAST(floor(epoch_us(observation_datetime) / 3600000000) AS BIGINT) AS h FROM air_quality
+ WHERE site_number IS NOT NULL AND observation_datetime IS NOT NULL AND sample_measurement_pm25 BETWEEN 0 AND 1000"""
+SQL = {
+    "p2_found": f"""WITH u AS ({_HOURS}), g AS (SELECT s, unnest(range(min(h), max(h) + 1)) AS h FROM u GROUP BY s)
+ SELECT s AS site_number, h * 3600 AS hour_start_s FROM g WHERE (s, h) NOT IN (SELECT (s, h) FROM u)""",
+    "p3_found": """WITH r AS (SELECT row_id, 'pickup_location_id' AS field_name, pickup_location_id AS k, ingestion_timestamp AS t FROM taxi_trips
+ UNION ALL SELECT row_id, 'dropoff_location_id', dropoff_location_id, ingestion_timestamp FROM taxi_trips),
+ z AS (SELECT DISTINCT location_id AS k, listed_at, delisted_at FROM taxi_zones),
+ j AS (SELECT r.row_id, field_name, t, count(z.k) AS n, coalesce(bool_or(listed_at <= t AND (delisted_at IS NULL OR t < delisted_at)), false) AS ok, coalesce(bool_or(delisted_at <= t), false) AS gone
+ FROM r LEFT JOIN z USING (k) WHERE k IS NOT NULL GROUP BY r.row_id, field_name, t)
+ SELECT row_id, field_name, CASE WHEN n = 0 THEN 'missing' WHEN gone THEN 'deleted' ELSE 'later' END AS kind, strftime(t, '%Y-%m') AS ingestion_month FROM j WHERE NOT ok""",
+}

@@ -84,3 +84,25 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_rejects": p5_rejects, "p5_loaded": p5_loaded, "p6_found": p6_found, "p6_by_key": p6_by_key}
+
+_HOUR = "(regexp_full_match({0}, ' *[0-9]+ *') AND try_cast(trim({0}) AS INT) BETWEEN 0 AND 23)"
+_COUNTY = "(regexp_full_match({0}, ' *[0-9]+ *') AND try_cast(trim({0}) AS INT) BETWEEN 1 AND 999)"
+_ZONE_TEXT = "( ?(Z|UTC|GMT|[ECMP][SD]T|[+-][0-9]{{2}}(:?[0-9]{{2}})?))?"
+_CLOCK = f"regexp_full_match(upper({{0}}), ' *(([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\\.[0-9]+)?)?|(0?[1-9]|1[0-2]):[0-5][0-9](:[0-5][0-9](\\.[0-9]+)?)? ?[AP]M|([01][0-9]|2[0-3])[0-5][0-9]([0-5][0-9])?){_ZONE_TEXT} *')"
+_FIELD = "regexp_replace(list_extract(f, {0}), '\"', '', 'g')"
+SQL = {
+    "p5_found": f"""WITH l AS (SELECT row_id, dataset, line_text, regexp_full_match(line_text, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS sound,
+  CASE dataset WHEN 'weather' THEN 12 ELSE 16 END AS n, regexp_extract_all(line_text, '("([^"]|"")*"|[^",]*)(,|$)', 1) AS f, regexp_replace(line_text, '"([^"]|"")*"', '', 'g') AS bare FROM raw_lines),
+ m AS (SELECT *, length(bare) - length(replace(bare, ',', '')) + 1 AS k FROM l)
+ SELECT 'weather' AS table_name, row_id FROM weather WHERE hour IS NOT NULL AND NOT {_HOUR.format('hour')}
+ UNION ALL SELECT 'air_quality', row_id FROM air_quality WHERE (time_gmt IS NOT NULL AND NOT {_CLOCK.format('time_gmt')}) OR (county_code IS NOT NULL AND NOT {_COUNTY.format('county_code')})
+ UNION ALL SELECT 'raw_lines', row_id FROM m WHERE NOT sound OR k <> n OR (dataset = 'weather' AND {_FIELD.format(4)} <> '' AND NOT {_HOUR.format(_FIELD.format(4))})
+  OR (dataset = 'air_quality' AND (({_FIELD.format(12)} <> '' AND NOT {_CLOCK.format(_FIELD.format(12))}) OR ({_FIELD.format(2)} <> '' AND NOT {_COUNTY.format(_FIELD.format(2))})))""",
+}
+_PLACE = "SELECT location_id AS k, min(lower(trim(borough))) AS b FROM taxi_zones WHERE trim(borough) <> '' GROUP BY 1"
+_GOOD = "CASE WHEN {0} IS NOT NULL AND CAST({0} AS VARCHAR) NOT IN ('nan', '-nan', 'inf', '-inf') THEN {0} END"
+_SUMS = ", ".join(f"CAST(count({_GOOD.format(m)}) AS BIGINT) AS n_{m}, round(sum({_GOOD.format(m)}), 2) AS sum_{m}" for m in MEASURES)
+SQL["p6_by_key"] = f"""WITH z AS ({_PLACE}), a AS (SELECT count(*) AS n FROM taxi_trips)
+ SELECT 'pickup_location_id' AS key_kind, CAST(pickup_location_id AS VARCHAR) AS key_value, CAST(count(*) AS BIGINT) AS n_rows, count(*) / (SELECT n FROM a) AS share, {_SUMS} FROM taxi_trips GROUP BY pickup_location_id
+ UNION ALL SELECT 'borough', b, CAST(count(*) AS BIGINT), count(*) / (SELECT n FROM a), {_SUMS} FROM taxi_trips LEFT JOIN z ON pickup_location_id = k GROUP BY b"""
+SQL["p6_found"] = f"SELECT key_kind, key_value FROM ({SQL['p6_by_key']}) WHERE key_value IS NOT NULL AND share >= CASE key_kind WHEN 'borough' THEN 0.15 ELSE 0.03 END"
