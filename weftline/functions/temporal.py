@@ -137,6 +137,7 @@ def with_instant(df: DataFrame, value: Column, default_zone: str, prefix: str =
     """
     p = f"_{prefix}_"
     df = df.withColumn(p + "text", value)
+    df = df.drop(*(c for c in df.columns if c.startswith(p) and c != p + "text"))
     df = df.withColumn(p + "parts", _components(F.col(p + "text"), INSTANT_PATTERN))
     parts = F.col(p + "parts")
     name = F.substring(_text(parts, "m"), 1, 3)  # a number has at most two digits, a name at least three letters

@@ -111,14 +111,17 @@ def impute(df: DataFrame, key: str, fields: Sequence[Field], predictors: dict[st
     A usable cell keeps its value, ``filled`` being false. Any other (null, NaN, infinite, out of range) gets the value
     that the other fields and the predictors give, plus ``noise`` times a draw of the residual spread, kept in range, and
     rounded where the field is whole. Predictors that are null, NaN or infinite count as 0. A field that no row has is
-    filled with 0, or the end of its range next to it. An empty table gives an empty one.
+    filled with 0, or the end of its range next to it. An empty table gives an empty one. Columns that already have one of the
+    added names are replaced; ``_z<n>``, ``_v<n>`` and ``_pattern`` are left out.
     """
     if len(fields) > MAX_FIELDS:
         raise ValueError(f"at most {MAX_FIELDS} incomplete fields")
     zs, vs = [f"_z{i}" for i in range(len(predictors))], [f"_v{i}" for i in range(len(fields))]
+    made = {*zs, *vs, "_pattern"} | {f"{f.name}_{end}" for f in fields if not f.helper for end in ("value", "filled")}
+    used = [c for c in df.columns if c not in made]
     finite = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c).otherwise(0.0)
     ready = df.select(
-        "*",
+        *(F.col(f"`{c}`") for c in used),
         *(finite(c.cast("double")).alias(z) for z, c in zip(zs, predictors.values())),
         *(f.usable().alias(v) for v, f in zip(vs, fields)),
     )
@@ -145,11 +148,12 @@ def impute(df: DataFrame, key: str, fields: Sequence[Field], predictors: dict[st
 
 
 def with_group_mean(df: DataFrame, group: Sequence[Column], value: Column, name: str) -> DataFrame:
-    """Adds the mean of a value over the rows of a like group, null where no row of it has one; null keys form no group.
+    """Adds the mean of a value over the rows of a like group, null where no row of it has one; null keys form no group. A
+    column that already has the name is replaced.
 
     The means are summed before their shuffle and joined without a hint: broadcast while their measured size allows.
     """
     keys = [f"_g{i}" for i in range(len(group))]
-    keyed = df.select("*", *(g.alias(k) for g, k in zip(group, keys)))
+    keyed = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, name)), *(g.alias(k) for g, k in zip(group, keys)))
     means = keyed.filter(value.isNotNull()).groupBy(*keys).agg(F.avg(value).alias(name))
     return keyed.join(means, keys, "left").drop(*keys)

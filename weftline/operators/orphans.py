@@ -30,7 +30,7 @@ def parent_index(parents: DataFrame, key: str, listed: str, delisted: str) -> Da
 
 
 def references(df: DataFrame, row_id: str, fields: list[str], at: str) -> DataFrame:
-    """One row per non-null reference: row_id, field_name, key, at."""
+    """One row per non-null reference: row_id, field_name, key, at; repeated rows are references of their own."""
     pairs = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("bigint").alias("key")) for f in fields))
     return df.select(F.col(row_id).alias("row_id"), F.col(at).alias("at"), F.inline(pairs)).filter(F.col("key").isNotNull())
 
