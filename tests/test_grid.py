@@ -48,3 +48,9 @@ def test_before_1970_and_extra_columns(spark):
     rows = [(1, datetime(1969, 12, 31, 22, 30), 1.0, "x", 9), (1, datetime(1970, 1, 1, 1, 10), 1.0, "y", 9)]
     got = grid(spark, rows, "s int, at timestamp_ntz, v double, source string, hour int")
     assert sorted(k[1] for k in got) == [-2, -1, 0, 1]
+
+
+def test_gap_of_centuries(spark):
+    rows = [(1, datetime(1900, 1, 1), 1.0), (1, datetime(2100, 1, 1), 2.0)]
+    out = regular_grid(spark.createDataFrame(rows, "s int, at timestamp_ntz, v double"), "s", "at", "v", 0.0, 1000.0)
+    assert out.count() == (datetime(2100, 1, 1) - datetime(1900, 1, 1)).days * 24 + 1

@@ -104,3 +104,13 @@ def test_keys(spark):
     key = spark.sql("SELECT 2024 AS y, 3 AS m, 4 AS d, 5 AS h").select(C.calendar_key(*(F.col(c) for c in "ymdh"))).first()[0]
     assert key == "2024_03_04_05"
     assert [r[0] for r in df.select(C.mapped(F.col("b"), {"x": 1})).collect()] == [None, 1]
+
+
+@pytest.mark.parametrize("split", [1, 2, 16])
+def test_one_key_and_identical_rows_hold_most(spark, split):
+    rows = [("hot", "x", 5.0, 1.0)] * 900 + [("hot", "bad", 5.0, 0.0)] * 50 + [(f"k{i % 20}", "x", 5.0, float(i)) for i in range(100)]
+    df = trips(spark, rows).repartition(11)
+    kept = quality.accepted(quality.classified(df, RULES, ["id"], ("tip",), split)).select("id", "tip").collect()
+    assert sorted(map(tuple, kept)) == sorted([("hot", 1.0), *((f"k{i}", float(i)) for i in range(20))])
+    t = quality.totals(quality.classified(df, RULES, ["id"], ("tip",), split)).first()
+    assert tuple(t) == (1050, 21, 1029, 979)

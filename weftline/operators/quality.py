@@ -30,25 +30,34 @@ def json_order(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))))
 
 
-def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str], tie_break: Sequence[str] | None = None) -> DataFrame:
+def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str], tie_break: Sequence[str] | None = None, split: int = 16) -> DataFrame:
     """Adds errors, the rank among rows of the same key, and ``_rejection_reason``, null for accepted rows.
 
     Valid and invalid rows are ranked apart, so an invalid one never displaces a valid one; of valid rows of a key the
     first by ``tie_break`` (else by JSON text) survives, whatever the order of the input. A reason is the errors joined by
-    semicolons, else ``duplicate_key``. Rows of a null key are rejected. One shuffle by key; as its keys should be nearly
-    unique, and rows with a null key are all invalid, the latter are spread over their row text instead.
+    semicolons, else ``duplicate_key``. Rows of a null key are rejected.
+
+    A key may hold any share of the rows: its rows are first ranked in ``split`` parts, by the partition they come from,
+    and only the first of each part are then ranked together. With keys known to be nearly unique, split=1 saves the
+    second shuffle. ``_duplicate_rank`` is 1 for the survivor and more for the others, but no count of them.
     """
     if not key:
         raise ValueError("a key is needed")
     checked = with_errors(df, rules, key)
     checked = checked.withColumn("_valid", F.size("_validation_errors") == 0)
     order = [F.col(f"`{c}`") for c in tie_break] if tie_break else [json_order(checked.drop("_valid"))]
-    spread = F.when(F.col("_valid"), 0).otherwise(F.pmod(F.xxhash64(*(f"`{c}`" for c in df.columns if not c.startswith("_"))), F.lit(1 << 20)))
-    window = Window.partitionBy(*(F.col(f"`{k}`") for k in key), F.col("_valid"), spread).orderBy(*order)
-    rank = F.when(F.col("_valid"), F.row_number().over(window)).otherwise(1)
-    ranked = checked.withColumn("_duplicate_rank", rank)
+    # Rows that can't survive need no company: their part is drawn from many.
+    part = F.pmod(F.spark_partition_id(), F.when(F.col("_valid"), max(split, 1)).otherwise(1 << 16))
+    checked = checked.withColumn("_part", part)
+    keys = [*(F.col(f"`{k}`") for k in key), F.col("_valid")]
+    ranked = checked.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) == 1)
+    if split > 1:
+        apart = F.when(F.col("_first") & F.col("_valid"), -1).otherwise(F.col("_part"))
+        ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, apart).orderBy(F.desc("_first"), *order)))
+        ranked = ranked.withColumn("_first", F.col("_first") & (F.col("_rank") == 1)).drop("_rank")
+    ranked = ranked.withColumn("_duplicate_rank", F.when(~F.col("_valid") | F.col("_first"), 1).otherwise(2))
     reason = F.when(~F.col("_valid"), F.array_join("_validation_errors", ";")).when(F.col("_duplicate_rank") > 1, "duplicate_key")
-    return ranked.withColumn("_rejection_reason", reason).drop("_valid")
+    return ranked.withColumn("_rejection_reason", reason).drop("_valid", "_part", "_first")
 
 
 def first_by_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

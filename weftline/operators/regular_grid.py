@@ -16,6 +16,8 @@ PERIODS = ((24, 2), (168, 1))
 TREND_ORIGIN, TREND_UNIT = 438_288, 8_766.0
 #: A source with fewer hours than these is fitted by fewer terms: all, trend with one daily harmonic, the mean alone.
 FULL_FIT_HOURS, SMALL_FIT_HOURS = 72, 24
+#: Hours that one step of filling a gap makes.
+GAP_STEP = 1_000
 
 
 def hour_index(at: Column) -> Column:
@@ -109,7 +111,9 @@ def regular_grid(df: DataFrame, source: str, at: str, value: str, low: float, hi
     order = Window.partitionBy("source").orderBy("hour")
     spans = fitted.select("*", F.lead("hour").over(order).alias("next_hour"), F.lead("residual").over(order).alias("next_residual"))
     last = F.coalesce(F.col("next_hour") - 1, F.col("hour"))
-    grid = spans.select("*", F.explode(F.sequence("hour", last)).alias("grid_hour"))
+    # In two steps, so that a gap of centuries makes no array of all its hours.
+    parts = spans.select("*", last.alias("last"), F.explode(F.sequence("hour", last, F.lit(GAP_STEP).cast("bigint"))).alias("part"))
+    grid = parts.select("*", F.explode(F.sequence("part", F.least(F.col("part") + (GAP_STEP - 1), F.col("last")))).alias("grid_hour"))
     seen = F.col("grid_hour") == F.col("hour")
     share = (F.col("grid_hour") - F.col("hour")) / (F.col("next_hour") - F.col("hour"))
     bridged = predicted(F.col("fit"), F.col("grid_hour")) + F.col("residual") + (F.col("next_residual") - F.col("residual")) * share

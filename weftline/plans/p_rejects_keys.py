@@ -71,11 +71,11 @@ def p6_by_key(spark: SparkSession, directory: str) -> DataFrame:
     """Counts and sums per pickup location and per borough, with the share of all trips."""
     places = per_key(table(spark, directory, "taxi_trips"), "pickup_location_id", MEASURES)
     boroughs = regroup(places, borough_groups(spark, directory))
-    all_rows = places.agg(F.sum("rows").alias("all_rows"))
+    all_rows = places.agg(F.sum("rows")).scalar()
     kinds = {"pickup_location_id": places, "borough": boroughs}
     parts = [d.withColumns({"key_kind": F.lit(k), "key_value": F.col("key").cast("string")}).drop("key") for k, d in kinds.items()]
-    both = parts[0].unionByName(parts[1]).join(F.broadcast(all_rows), how="cross")  # one row
-    return both.select("key_kind", "key_value", F.col("rows").alias("n_rows"), (F.col("rows") / F.col("all_rows")).alias("share"), *(c for m in MEASURES for c in (f"n_{m}", F.round(f"sum_{m}", 2).alias(f"sum_{m}"))))
+    both = parts[0].unionByName(parts[1])
+    return both.select("key_kind", "key_value", F.col("rows").alias("n_rows"), (F.col("rows") / all_rows).alias("share"), *(c for m in MEASURES for c in (f"n_{m}", F.round(f"sum_{m}", 2).alias(f"sum_{m}"))))
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:

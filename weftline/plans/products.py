@@ -41,8 +41,8 @@ def demand_variation(trips: DataFrame, zone: str, condition: Column, at: str, to
     hours = trips.groupBy(F.col(zone).alias("zone"), condition.alias("condition"), F.col(at).alias("hour")).agg(_n().alias("n"))
     rates = hours.groupBy("zone", "condition").agg((F.sum("n") / _n()).alias("rate"))
     spread = rates.groupBy("zone").agg(F.round(F.max("rate") - F.min("rate"), 6).alias("spread"), _n().alias("n_conditions"))
-    rank = F.row_number().over(Window.orderBy(F.desc("spread"), F.asc_nulls_last("zone")))  # one row per zone
-    return spread.withColumn("position", rank).filter(F.col("position") <= top)
+    order = [F.desc("spread"), F.asc_nulls_last("zone")]
+    return spread.orderBy(*order).limit(top).withColumn("position", F.row_number().over(Window.orderBy(*order)))  # of the report's rows alone
 
 
 def peak_hours(trips: DataFrame, at: str) -> DataFrame:
