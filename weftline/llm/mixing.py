@@ -76,7 +76,8 @@ def budgets(tokens: Sequence[float], targets: Sequence[float], repeats: Sequence
         return np.zeros(len(n)), 1.0
     goal = np.where(open_, goal, 0) / goal[open_].sum()
     if total is None:
-        return goal * (most[open_] / goal[open_]).min(), 1.0
+        with np.errstate(over="ignore"):  # a target next to nothing bounds nothing
+            return goal * (most[open_] / goal[open_]).min(), 1.0
     natural = np.where(open_, n, 0) / n[open_].sum()
 
     def weights(a: float) -> np.ndarray:
@@ -146,7 +147,7 @@ def shares(mix: DataFrame, planned: DataFrame, tolerance: float = 0.01) -> DataF
     """Per source: what it should give, has, was asked for and gave, its share of the mix, and whether that is the target."""
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_used"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_docs"))
     table = planned.join(used, "source", "left").fillna(0, ["n_used", "most_copies", "n_docs"])
-    whole = F.sum("n_used").over(Window.partitionBy())  # one row per source
+    whole = used.agg(F.coalesce(F.sum("n_used"), F.lit(0))).scalar()
     share = F.when(whole > 0, F.col("n_used") / whole).otherwise(0.0)
     return table.select("source", "target_share", "max_repeats", "n_available", F.round("budget").cast("bigint").alias("budget"), "n_used", "n_docs", "most_copies", share.alias("reached_share"), (F.abs(share - F.coalesce("target_share", F.lit(0.0))) <= tolerance).alias("reached"))
 
