@@ -98,3 +98,37 @@ def report(result: Mapping[str, Any]) -> str:
     lines += ["", "| query | " + " | ".join(LAYOUTS) + " |", "|---|" + "---:|" * len(LAYOUTS)]
     lines += [f"| {q} | " + " | ".join(f"{by[n]['mean_ms']} ± {by[n]['stdev_ms']} ms" for n in LAYOUTS) + " |" for q, by in result["queries"].items()]
     return "\n".join(lines) + "\n"
+
+
+# Settings worth a comparison, by name.
+VARIANTS: dict[str, dict[str, str]] = {
+    "as set": {},
+    "not adaptive": {"spark.sql.adaptive.enabled": "false"},
+    "no broadcast": {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"},
+}
+
+
+def experiment(spark: SparkSession, make: Callable[[], DataFrame], variants: Mapping[str, Mapping[str, str]] = VARIANTS, iterations: int = 3, cached: Sequence[DataFrame] = ()) -> dict[str, Any]:
+    """One query under different settings, and with its inputs cached: its times, its plans, and whether its rows are the same.
+
+    The session's settings are put back afterwards. Results are compared on the driver, so the query should be an aggregate.
+    """
+    found: dict[str, Any] = {}
+    first: list | None = None
+    for name in [*variants, *(["cached"] if cached else [])]:
+        settings = dict(variants.get(name, {}))
+        before = {k: spark.conf.get(k, None) for k in settings}
+        kept = [df.cache() for df in cached] if name not in variants else []
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            df = make()
+            rows = [tuple(r) for r in df.collect()]
+            first = rows if first is None else first
+            found[name] = latency(lambda: make().collect(), iterations) | {"same_rows": equal_rows(first, rows), "physical_plan": physical_plan(df)}
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            for df in kept:
+                df.unpersist()
+    return found
