@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators.impute import Field, impute, with_group_mean
+from weftline.operators.impute import Field, impute, with_group_mean, with_nested_means
 
 
 def fields(**kw):
@@ -66,3 +66,14 @@ def test_group_mean(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None), (None, 5.0)], "g string, v double")
     got = {(r["g"], r["v"]): r["m"] for r in with_group_mean(df, [F.col("g")], F.col("v"), "m").collect()}
     assert got == {("a", 1.0): 2.0, ("a", 3.0): 2.0, ("a", None): 2.0, ("b", None): None, (None, 5.0): None}
+
+
+def test_nested_means(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 3.0), ("a", 2, None), ("b", 1, 5.0), (None, 1, 7.0), ("a", None, 9.0), (None, None, None)]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "g string, h int, v double, gh string")
+    keys = {"k": F.col("g"), "l": F.col("h")}
+    out = with_nested_means(df, keys, F.col("v"), {"gh": [F.col("k"), F.col("l")], "gm": [F.col("k")], "hm": [F.col("l")]})
+    assert out.columns == ["g", "h", "v", "gh", "gm", "hm"]
+    got = {(r["g"], r["h"], r["v"]): (r["gh"], r["gm"], r["hm"]) for r in out.collect()}
+    mean = 13 / 3
+    assert got == {("a", 1, 1.0): (2.0, mean, 4.0), ("a", 1, 3.0): (2.0, mean, 4.0), ("a", 2, None): (None, mean, None), ("b", 1, 5.0): (5.0, 5.0, 4.0), (None, 1, 7.0): (None, None, 4.0), ("a", None, 9.0): (None, mean, None), (None, None, None): (None, None, None)}

@@ -8,12 +8,12 @@ they run on matrices of a fixed size, however many rows there are, and a second
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: With more incomplete fields the patterns, at most two to their number, would be too many.
@@ -157,3 +157,21 @@ def with_group_mean(df: DataFrame, group: Sequence[Column], value: Column, name:
     keyed = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, name)), *(g.alias(k) for g, k in zip(group, keys)))
     means = keyed.filter(value.isNotNull()).groupBy(*keys).agg(F.avg(value).alias(name))
     return keyed.join(means, keys, "left").drop(*keys)
+
+
+def with_nested_means(df: DataFrame, keys: Mapping[str, Column], value: Column, levels: Mapping[str, Sequence[Column]]) -> DataFrame:
+    """Adds several means over like groups by one join: each level's group is made of the named keys.
+
+    Sums per combination of the keys come first; the levels are summed from these, and rows are joined once on all keys,
+    null ones included. A level with a null key gets null; columns that already have one of the names are replaced.
+    """
+    own = [f"_g{i}" for i in range(len(keys))]
+    base = df.groupBy(*(k.alias(n) for n, k in keys.items())).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    for name, group in levels.items():
+        over = Window.partitionBy(*group)
+        known = reduce(lambda a, b: a & b, (g.isNotNull() for g in group))
+        base = base.withColumn(name, F.when(known, F.sum("_sum").over(over) / F.nullif(F.sum("_n").over(over), F.lit(0))))
+    means = base.select(*(F.col(n).alias(o) for n, o in zip(keys, own)), *levels)
+    slim = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*levels, *own)), *(k.alias(f"_k{i}") for i, k in enumerate(keys.values())))
+    same = reduce(lambda a, b: a & b, (F.col(f"_k{i}").eqNullSafe(F.col(o)) for i, o in enumerate(own)))
+    return slim.join(means, same, "left").drop(*own, *(f"_k{i}" for i in range(len(keys))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.impute import Field, impute, with_group_mean
+from weftline.operators.impute import Field, impute, with_group_mean, with_nested_means
 from weftline.sources.tables import table
 
 PASSENGERS, TIP, LEVEL = (0.0, 10.0), (0.0, float("inf")), (0.0, 1000.0)
@@ -42,15 +42,16 @@ def filled_levels(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "integrated")
     level = _within("pm25_borough_level", *LEVEL)
     borough = F.lower(F.trim(F.col("pickup_borough")))
-    rows = with_group_mean(rows, [borough, F.col("observation_hour")], level, "borough_hour")
-    rows = with_group_mean(rows, [borough, F.col("observation_hour").cast("date")], level, "borough_day")
-    rows = with_group_mean(rows, [F.col("observation_hour")], level, "city_hour")
+    hour, of = F.col("observation_hour"), {"like_borough": borough, "like_hour": F.col("observation_hour")}
+    like, day = F.col("like_borough"), F.col("like_hour").cast("date")
+    levels = {"borough_hour": [like, F.col("like_hour")], "borough_day": [like, day], "city_hour": [F.col("like_hour")]}
+    rows = with_nested_means(rows, of, level, levels)
     fields = [
         Field("pm25_borough_level", F.col("pm25_borough_level"), *LEVEL),
         *(Field(n, F.col(n), *LEVEL, helper=True) for n in ("borough_hour", "borough_day", "city_hour", "pm25_citywide")),
         Field("temperature_c", F.col("temperature_c"), -60.0, 60.0, helper=True),
     ]
-    angle = F.hour("observation_hour") * (2 * 3.141592653589793 / 24)
+    angle = F.hour(hour) * (2 * 3.141592653589793 / 24)
     return impute(rows, "row_id", fields, {"cos_hour": F.cos(angle), "sin_hour": F.sin(angle)})
 
 
