@@ -111,7 +111,8 @@ VARIANTS: dict[str, dict[str, str]] = {
 def experiment(spark: SparkSession, make: Callable[[], DataFrame], variants: Mapping[str, Mapping[str, str]] = VARIANTS, iterations: int = 3, cached: Sequence[DataFrame] = ()) -> dict[str, Any]:
     """One query under different settings, and with its inputs cached: its times, its plans, and whether its rows are the same.
 
-    The session's settings are put back afterwards. Results are compared on the driver, so the query should be an aggregate.
+    ``cached`` works for queries built from these very frames, not for SQL over views of them. The session's settings are put
+    back afterwards. Results are compared on the driver, so the query should be an aggregate.
     """
     found: dict[str, Any] = {}
     first: list | None = None
