@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -66,3 +67,13 @@ def test_whole_table(spark, small, tokenizer):
 def test_two_shuffles(spark, small):
     plan = QUERIES["p7_ids"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 2 and "SortMergeJoin" not in plan
+
+
+def test_packed_numbers():
+    rng = random.Random(1)
+    for _ in range(200):
+        rows = [sorted(rng.sample(range(rng.choice([5, 300, 2**31])), rng.randrange(0, 5))) for _ in range(rng.randrange(0, 6))]
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        flat = np.array([x for r in rows for x in r], np.int64)
+        got, at = E.unpacked(E.packed(flat, bounds))
+        assert got.tolist() == flat.tolist() and at.tolist() == bounds.tolist()

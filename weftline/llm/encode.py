@@ -25,6 +25,42 @@ BLOCK_CHARS = 1_000_000
 KEPT_WORDS = 500_000
 
 
+def packed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """One binary per row of ascending numbers, ``rows`` being the rows' bounds: differences in as few bytes of 7 bits as do."""
+    steps = values.astype(np.int64)
+    steps[1:] -= values[:-1]
+    starts = rows[:-1][rows[:-1] < rows[1:]]
+    steps[starts] = values[starts]
+    size = 1 + sum((steps >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(5):
+        more = size > k
+        out[ends[:-1][more] + k] = (steps[more] >> 7 * k & 127) | np.where(size[more] > k + 1, 128, 0)
+    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(ends[rows].astype(np.int32)), pa.py_buffer(out)])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the rows' bounds in them."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of packed(), and the rows' bounds."""
+    data, bounds = _bytes(column)
+    last = data < 128
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    within = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    steps = np.add.reduceat((data & 127).astype(np.int64) << 7 * within, starts) if len(ends) else np.empty(0, np.int64)
+    rows = np.concatenate([[0], np.cumsum(last)])[bounds]
+    total = np.concatenate([[0], np.cumsum(steps)])
+    return total[1:] - np.repeat(total[rows[:-1]], np.diff(rows)), rows
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a block: one with the documents' ids and numbers of words, then one per distinct word with its positions."""
     import regex
@@ -35,13 +71,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def closed(docs: list, counts: list[int], words: list[str]) -> pa.RecordBatch:
         coded = pa.array(words, pa.string()).dictionary_encode()
         codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable").astype(np.int32)
-        ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))).astype(np.int32)
-        n = len(ends) + 1
-        positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0, 0], ends]).astype(np.int32)), pa.array(order))
+        order = np.argsort(codes, kind="stable")
+        bounds = np.concatenate([[0, 0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
+        n = len(bounds) - 1
         lists = lambda values, kind: pa.array([values, *[None] * (n - 1)], pa.list_(kind))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part * 2**31 + number)), pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary]), positions, lists(docs, pa.int64()), lists(counts, pa.int32())],
+            [pa.array(np.full(n, part * 2**31 + number)), pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary]), packed(order, bounds), lists(docs, pa.int64()), lists(counts, pa.int32())],
             names=["block", "word", "positions", "docs", "counts"],
         )
 
@@ -62,39 +97,35 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoder(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, kept = encoding(folder, vocabulary)._core_bpe.encode_single_piece, {}
+        piece, kept = encoding(folder, vocabulary)._core_bpe.encode_single_piece, {None: b""}
         for batch in batches:
-            ids, lengths = [], [0]
+            ids = []
             for word in batch["word"].to_pylist():
-                if word is not None:
-                    got = kept.get(word)
-                    if got is None:
-                        if len(kept) >= KEPT_WORDS:
-                            kept.clear()
-                        got = kept[word] = piece(word.encode())
-                    ids += got
-                lengths.append(len(ids))
-            out = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["block"], out, *(batch[c] for c in ("positions", "docs", "counts"))], names=["block", "ids", "positions", "docs", "counts"])
+                got = kept.get(word)
+                if got is None:
+                    if len(kept) > KEPT_WORDS:
+                        kept = {None: b""}
+                    got = kept[word] = np.array(piece(word.encode()), np.int32).tobytes()
+                ids.append(got)
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(ids, pa.binary()), *(batch[c] for c in ("positions", "docs", "counts"))], names=["block", "ids", "positions", "docs", "counts"])
 
     return run
 
 
 def _reassembled(block: pa.Table) -> pa.Table:
     """The documents of one block: at every position stand the ids of its word."""
-    block = block.combine_chunks()
     head = pc.indices_nonzero(pc.is_valid(block["docs"]))[0].as_py()
-    docs, counts = block["docs"][head].values, block["counts"][head].values.to_numpy()
-    ids, positions = (block[c].combine_chunks() for c in ("ids", "positions"))
-    flat, starts, sizes = ids.flatten().to_numpy(), ids.offsets.to_numpy()[:-1], pc.list_value_length(ids).to_numpy()
-    starts = starts - ids.offsets.to_numpy()[0]
-    row_at = np.empty(int(counts.sum()), np.int64)
-    row_at[positions.flatten().to_numpy()] = np.repeat(np.arange(len(block)), pc.list_value_length(positions).to_numpy())
+    docs, counts = (block[c].combine_chunks()[head].values for c in ("docs", "counts"))
+    data, bounds = _bytes(block["ids"].combine_chunks())
+    flat, starts, sizes = data.view(np.int32), bounds[:-1] // 4, np.diff(bounds) // 4
+    positions, rows = unpacked(block["positions"].combine_chunks())
+    row_at = np.empty(len(positions), np.int64)
+    row_at[positions] = np.repeat(np.arange(len(sizes)), np.diff(rows))
     size_at = sizes[row_at]
     ends = np.concatenate([[0], np.cumsum(size_at)])
     taken = np.repeat(starts[row_at] - ends[:-1], size_at) + np.arange(ends[-1])
-    bounds = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-    return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat[taken.astype(np.int64)]))})
+    of_docs = ends[np.concatenate([[0], np.cumsum(counts.to_numpy())])].astype(np.int32)
+    return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(of_docs), pa.array(flat[taken.astype(np.int64)]))})
 
 
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -104,11 +135,11 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     each by itself, null ids stay null, other columns are left out, an empty table gives an empty one.
     """
     slim = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    lists = "positions array<int>, docs array<bigint>, counts array<int>"
+    lists = "positions binary, docs array<bigint>, counts array<int>"
     blocks = slim.mapInArrow(_blocks, f"block bigint, word string, {lists}")
     # The documents' own rows go anywhere, so they don't crowd on the null word.
     routed = blocks.repartition(F.when(F.col("word").isNotNull(), F.xxhash64("word")).otherwise(F.xxhash64("block")))
-    encoded = routed.mapInArrow(_encoder(folder, vocabulary), f"block bigint, ids array<int>, {lists}")
+    encoded = routed.mapInArrow(_encoder(folder, vocabulary), f"block bigint, ids binary, {lists}")
     return encoded.groupBy("block").applyInArrow(_reassembled, "doc_id bigint, ids array<int>")
 
 
