@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.enrich import broadcast_if_small
+
 #: With more incomplete fields the patterns, at most two to their number, would be too many.
 MAX_FIELDS = 8
 
@@ -151,19 +153,20 @@ def with_group_mean(df: DataFrame, group: Sequence[Column], value: Column, name:
     """Adds the mean of a value over the rows of a like group, null where no row of it has one; null keys form no group. A
     column that already has the name is replaced.
 
-    The means are summed before their shuffle and joined without a hint: broadcast while their measured size allows.
+    The means are summed before their shuffle. Up to a counted number of groups they are broadcast, so that the rows
+    aren't shuffled; beyond it they are joined by a shuffle.
     """
     keys = [f"_g{i}" for i in range(len(group))]
     keyed = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, name)), *(g.alias(k) for g, k in zip(group, keys)))
     means = keyed.filter(value.isNotNull()).groupBy(*keys).agg(F.avg(value).alias(name))
-    return keyed.join(means, keys, "left").drop(*keys)
+    return keyed.join(broadcast_if_small(means), keys, "left").drop(*keys)
 
 
 def with_nested_means(df: DataFrame, keys: Mapping[str, Column], value: Column, levels: Mapping[str, Sequence[Column]]) -> DataFrame:
     """Adds several means over like groups by one join: each level's group is made of the named keys.
 
     Sums per combination of the keys come first; the levels are summed from these, and rows are joined once on all keys,
-    null ones included. A level with a null key gets null; columns that already have one of the names are replaced.
+    null ones included, by a broadcast as in with_group_mean. A level with a null key gets null; columns that already have one of the names are replaced.
     """
     own = [f"_g{i}" for i in range(len(keys))]
     base = df.groupBy(*(k.alias(n) for n, k in keys.items())).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
@@ -174,4 +177,4 @@ def with_nested_means(df: DataFrame, keys: Mapping[str, Column], value: Column,
     means = base.select(*(F.col(n).alias(o) for n, o in zip(keys, own)), *levels)
     slim = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*levels, *own)), *(k.alias(f"_k{i}") for i, k in enumerate(keys.values())))
     same = reduce(lambda a, b: a & b, (F.col(f"_k{i}").eqNullSafe(F.col(o)) for i, o in enumerate(own)))
-    return slim.join(means, same, "left").drop(*own, *(f"_k{i}" for i in range(len(keys))))
+    return slim.join(broadcast_if_small(means), same, "left").drop(*own, *(f"_k{i}" for i in range(len(keys))))
