@@ -107,7 +107,7 @@ def _looked_up(table: dict, key: Column) -> Column:
     A lambda also ends the span of whole-stage code, on purpose: as one span, all steps would be a single method, too long
     for the JVM to compile, and run at half the speed.
     """
-    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()))
+    pairs = F.expr("array(" + ", ".join(f"named_struct('k', '{k}', 'v', {v!r})" for k, v in table.items()) + ")")
     return F.get(F.filter(pairs, lambda x: x["k"] == key), 0)["v"]
 
 

@@ -24,9 +24,10 @@ from weftline.plans.spec import Platform
 from weftline.sources.readers import materialised
 from weftline.sources.store import Store
 
-#: Settings of every session: one zone for all instants, plans mended as they run, no shift of old dates.
+#: Settings of every session: one zone for all instants, plans mended as they run, no shift of old dates, no call sites
+#: kept with every expression (they make the building of large plans twice as slow).
 SESSION = {
-    "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.parquet.datetimeRebaseModeInRead": "CORRECTED", "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
 }
 
