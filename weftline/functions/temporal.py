@@ -113,11 +113,14 @@ def _looked_up(table: dict, key: Column) -> Column:
 
 def names_clock(value: Column) -> Column:
     """Whether a text names a time of day: hour 0-23, or 1-12 with AM or PM, minute and second 0-59. Null for null."""
-    parts = _components(value, CLOCK_PATTERN)
-    seconds = _seconds(_number(parts, "h"), _number(parts, "i"), _number(parts, "s"), _text(parts, "a"))
-    zone = parts[_FIELDS.index("w")]
-    known = (zone == "") | F.lower(zone).isin([z.lower() for z in ZONE_NAMES])
-    return F.when(value.isNotNull(), F.coalesce(seconds.isNotNull() & known, F.lit(False)))
+
+    def good(parts: Column) -> Column:
+        seconds = _seconds(_number(parts, "h"), _number(parts, "i"), _number(parts, "s"), _text(parts, "a"))
+        zone = parts[_FIELDS.index("w")]
+        return F.coalesce(seconds.isNotNull() & ((zone == "") | F.lower(zone).isin([z.lower() for z in ZONE_NAMES])), F.lit(False))
+
+    # A lambda's variable is computed once; written out, the match would stand, and run, in every branch.
+    return F.when(value.isNotNull(), F.get(F.transform(F.array(_components(value, CLOCK_PATTERN)), good), 0))
 
 
 def _shifted(us: Column, zone: Column, usual: str) -> Column:
