@@ -14,7 +14,7 @@ def ensure_shared_folder(spark: SparkSession) -> str:
     if there:
         return there
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local["):
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir()
