@@ -28,6 +28,14 @@ def test_releases(spark, store):
         inc.apply_release(store, "t", spark.createDataFrame([("x", "y")], "id string, v string"), ["id"], "r3")
 
 
+def test_only_batch_applied_again_under_a_number(spark, store):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    for _ in range(2):
+        assert inc.apply_release(store, "t", df, ["id"], "001").inserted == 2
+    assert inc.apply_release(store, "t", df, ["id"], "002").inserted == 0
+    assert inc.apply_release(store, "t", df, ["id"], "001").inserted == 2 and store.read_appended("t").count() == 2
+
+
 def test_stream_equals_batch(spark, store, tmp_path):
     source = spark.range(100).select((F.col("id") % 40).alias("id"), (F.col("id") % 40 * 2).alias("v"))
     source.repartition(5).write.parquet(str(tmp_path / "in"))

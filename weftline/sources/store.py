@@ -61,8 +61,12 @@ class Store:
                 raise ValueError(f"{table}: columns of another type: {clash}")
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
 
-    def read_appended(self, table: str) -> DataFrame:
-        parts = self._parts(table, "batch=")
+    def batches(self, table: str, without: str | None = None) -> list[str]:
+        return [p[6:] for p in self._parts(table, "batch=") if p != f"batch={without}"]
+
+    def read_appended(self, table: str, without: str | None = None) -> DataFrame:
+        """All batches, or all but one; ``batch`` is their id, of the type that Spark takes it for."""
+        parts = [f"batch={b}" for b in self.batches(table, without)]
         if not parts:
             raise ValueError(f"no such table: {table}")
         base = f"{self.root}/{table}"

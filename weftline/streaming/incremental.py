@@ -31,8 +31,8 @@ def apply_release(store: Store, table: str, release: DataFrame, key: Sequence[st
     order = [F.xxhash64(*(f"`{c}`" for c in sorted(release.columns)))]
     once = first_by_key(some, key, order)
     added: list[str] = []
-    if store.exists(table):
-        known = store.read_appended(table).filter(F.col("batch").cast("string") != batch)
+    if store.batches(table, without=batch):
+        known = store.read_appended(table, without=batch)
         changes = schema_changes(known.drop("batch"), release)
         if changes["retyped"]:
             raise ValueError(f"{table}: columns of another type: {changes['retyped']}")
