@@ -31,13 +31,13 @@ COUNTY = lambda c: whole_number(c, 1, 999)
 CLOCK = names_clock
 
 
-def with_reasons(df: DataFrame, rules: Mapping[str, tuple[Column, str]], structural: Column | None = None) -> DataFrame:
+def with_reasons(df: DataFrame, rules: Mapping[str, Column], structural: Column | None = None) -> DataFrame:
     """Adds ``reasons array<string>``: the structural reason alone where there is one, else a label per failing cell.
 
-    rules: reason to (whether the cell is good, the column's name). All rows and columns stay; an empty array marks a
+    rules: reason to whether the cell is good, null counting as good. All rows and columns stay; an empty array marks a
     valid row. As the array is tied to the partition id, a filter on it doesn't run the rules a second time.
     """
-    failing = F.filter(F.array(*(F.when(~good, F.lit(reason)) for reason, (good, _) in rules.items())), lambda r: r.isNotNull())
+    failing = F.filter(F.array(*(F.when(~good, F.lit(reason)) for reason, good in rules.items())), lambda r: r.isNotNull())
     reasons = failing if structural is None else F.when(structural.isNotNull(), F.array(structural)).otherwise(failing)
     return df.withColumn("reasons", F.when(F.spark_partition_id() >= 0, reasons))
 

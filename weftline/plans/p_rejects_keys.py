@@ -24,16 +24,16 @@ CHECKED = ["hour", "Time GMT", "County Code"]
 def checked_lines(spark: SparkSession, directory: str, kept: list[str] | None = None) -> DataFrame:
     fields = list(dict.fromkeys([*CHECKED, *(kept or [])]))
     lines = rejects.parse_lines(table(spark, directory, "raw_lines"), "row_id", "dataset", "line_text", LAYOUTS, fields)
-    rules = {"bad_hour": (rejects.HOUR(F.col("hour")), "hour"), "bad_time_gmt": (rejects.CLOCK(F.col("`Time GMT`")), "Time GMT"), "bad_county_code": (rejects.COUNTY(F.col("`County Code`")), "County Code")}
+    rules = {"bad_hour": rejects.HOUR(F.col("hour")), "bad_time_gmt": rejects.CLOCK(F.col("`Time GMT`")), "bad_county_code": rejects.COUNTY(F.col("`County Code`"))}
     return rejects.with_reasons(lines, rules, F.col("structure"))
 
 
 def checked_weather(spark: SparkSession, directory: str) -> DataFrame:
-    return rejects.with_reasons(table(spark, directory, "weather"), {"bad_hour": (rejects.HOUR(F.col("hour")), "hour")})
+    return rejects.with_reasons(table(spark, directory, "weather"), {"bad_hour": rejects.HOUR(F.col("hour"))})
 
 
 def checked_air(spark: SparkSession, directory: str) -> DataFrame:
-    rules = {"bad_time_gmt": (rejects.CLOCK(F.col("time_gmt")), "time_gmt"), "bad_county_code": (rejects.COUNTY(F.col("county_code")), "county_code")}
+    rules = {"bad_time_gmt": rejects.CLOCK(F.col("time_gmt")), "bad_county_code": rejects.COUNTY(F.col("county_code"))}
     return rejects.with_reasons(table(spark, directory, "air_quality"), rules)
 
 
