@@ -96,3 +96,16 @@ def test_sizes_of_whole_table(spark, small):
     assert {r["doc_id"]: r["n_tokens"] for r in M.token_sizes(docs).collect()} == want
     shares = QUERIES["p8_shares"](spark, small).collect()
     assert len(shares) >= 10 and QUERIES["p8_mix"](spark, small).count() > 0
+
+
+def test_registered_mix_of_the_whole_corpus(spark, small):
+    rows = {r["source"]: r for r in QUERIES["p8_whole_shares"](spark, small).collect()}
+    total = sum(r["n_available"] for r in rows.values() if (r["target_share"] or 0) > 0)
+    assert abs(sum(r["budget"] for r in rows.values()) - total) <= len(rows)
+    used = [r for r in rows.values() if r["budget"] > 0]
+    assert all(r["most_copies"] <= r["max_repeats"] for r in used) and any(abs(r["budget"] - r["n_available"] * r["max_repeats"]) <= 1 for r in used)
+    assert abs(sum(r["n_used"] for r in used) - total) < 0.05 * total
+    n, goal, repeats = ([r[c] for r in used] for c in ("n_available", "target_share", "max_repeats"))
+    want, exponent = M.budgets(n, goal, repeats, total)
+    assert 0 < exponent < 1 and all(abs(r["budget"] - b) <= 1 for r, b in zip(used, want))
+    assert any(not r["reached"] for r in used)

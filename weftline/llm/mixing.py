@@ -97,10 +97,11 @@ def budgets(tokens: Sequence[float], targets: Sequence[float], repeats: Sequence
     return weights(low) * total, low
 
 
-def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, total: float | None = None, whole: bool = False) -> DataFrame:
     """One row per source of the targets or of the documents: source, target_share, max_repeats, n_available, budget.
 
-    Targets of one source are added up, their largest max_repeats holding; a null or negative share counts as 0.
+    Targets of one source are added up, their largest max_repeats holding; a null or negative share counts as 0. whole: the
+    total is that of the tokens of all sources that have a target and may be used.
     """
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("n_available"))
     wanted = (
@@ -111,6 +112,8 @@ def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     rows = wanted.join(have, "source", "left").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} targets")
+    if whole:
+        total = float(sum(r["n_available"] or 0 for r in rows if r["target_share"] > 0 and r["max_repeats"] > 0))
     tokens, _ = budgets([r["n_available"] or 0 for r in rows], [r["target_share"] for r in rows], [r["max_repeats"] for r in rows], total)
     made = sized.sparkSession.createDataFrame([(r["source"], float(b)) for r, b in zip(rows, tokens)], "source string, budget double")
     return have.join(wanted, "source", "full").join(made, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("n_available", F.lit(0)).cast("bigint").alias("n_available"), F.coalesce("budget", F.lit(0.0)).alias("budget"))
@@ -152,9 +155,9 @@ def shares(mix: DataFrame, planned: DataFrame, tolerance: float = 0.01) -> DataF
     return table.select("source", "target_share", "max_repeats", "n_available", F.round("budget").cast("bigint").alias("budget"), "n_used", "n_docs", "most_copies", share.alias("reached_share"), (F.abs(share - F.coalesce("target_share", F.lit(0.0))) <= tolerance).alias("reached"))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, folder: str = TOKENIZERS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mix and its plan. Sizes are counted once and written to the shared folder, as several steps read them."""
     ensure_shared_folder(docs.sparkSession)
     sized = token_sizes(docs, folder).checkpoint()
-    planned = plan(sized, targets, total)
+    planned = plan(sized, targets, total, whole)
     return realise(sized, planned, seed), planned

@@ -20,8 +20,8 @@ def p7_decoded(spark: SparkSession, directory: str) -> DataFrame:
     return decode_corpus(p7_ids(spark, directory))
 
 
-def _mix(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))
+def _mix(spark: SparkSession, directory: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, directory, "documents"), table(spark, directory, "mix_targets"), whole=whole)
 
 
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
@@ -34,6 +34,16 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return shares(*_mix(spark, directory))
 
 
+def p8_whole_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """A mix of as many tokens as the sources with a target have, its shares as near the targets as repeats allow."""
+    return _mix(spark, directory, True)[0]
+
+
+def p8_whole_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The shares of p8_whole_mix, and which targets it misses."""
+    return shares(*_mix(spark, directory, True))
+
+
 def p9_pieces(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of all documents of more than 1,024 tokens."""
     return oversized(table(spark, directory, "documents"))
@@ -44,5 +54,5 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return p9_pieces(spark, directory).filter(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_whole_mix": p8_whole_mix, "p8_whole_shares": p8_whole_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
