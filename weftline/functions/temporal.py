@@ -130,13 +130,14 @@ def _shifted(us: Column, zone: Column, usual: str) -> Column:
     return F.unix_micros(F.when(zone == usual, own).otherwise(F.from_utc_timestamp(at, zone)))
 
 
-def with_instant(df: DataFrame, value: Column, default_zone: str, prefix: str = "t") -> DataFrame:
+def with_instant(df: DataFrame, value: Column, default_zone: str, prefix: str = "t", lenient: bool = False) -> DataFrame:
     """Adds ``<prefix>_utc_us bigint`` and ``<prefix>_status string``.
 
     status: ``ok``; ``absent`` (null or blank); ``unreadable`` (no notation, or out of the calendar's or clock's range);
     ``unknown_zone``; ``skipped`` and ``repeated`` (the wall clock names no or two instants). Only ``ok`` has an instant.
     A value without offset or zone is wall clock of ``default_zone``. Extra columns stay; those of the two names, and
-    those beginning ``_<prefix>_``, are replaced.
+    those beginning ``_<prefix>_``, are replaced. lenient: ``skipped`` and ``repeated`` have the instant by the offset
+    before the change, as to_utc_timestamp has it.
     """
     p = f"_{prefix}_"
     df = df.withColumn(p + "text", value)
@@ -186,11 +187,12 @@ def with_instant(df: DataFrame, value: Column, default_zone: str, prefix: str =
     df = df.select("*", F.when(near, holds(before)).alias(p + "first"), F.when(near, holds(after)).alias(p + "second"))
     first, second = F.col(p + "first"), F.col(p + "second")
     local = F.when(~near | (first & ~second), wall - before).when(second & ~first, wall - after)
-    utc = F.coalesce(F.col(p + "instant"), wall - offset * 60_000_000, local)
+    known = F.coalesce(F.col(p + "instant"), wall - offset * 60_000_000, local)
+    utc = F.coalesce(known, F.when(near, wall - before)) if lenient else known
     text = F.col(p + "text")
     status = (
         F.when(text.isNull() | (F.trim(text) == ""), "absent")
-        .when(utc.isNotNull(), "ok")
+        .when(known.isNotNull(), "ok")
         .when(wall.isNull(), "unreadable")
         .when(zone.isNull(), "unknown_zone")
         .when(first & second, "repeated")

@@ -11,6 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.temporal import with_instant
 from weftline.operators import quality, standardize
 from weftline.plans.spec import DatasetSpec
 from weftline.sources import readers
@@ -18,11 +19,14 @@ from weftline.sources.store import Store
 
 
 def prepared(raw: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Standard names, safe casts, scope, defaults, derived columns; lazy."""
+    """Standard names, safe casts, scope, defaults, instants, derived columns; lazy."""
     readers.require_columns(raw, spec.required, spec.name)
     df = standardize.safe_cast(standardize.renamed(raw, spec.rename), spec.casts)
     df = quality.in_scope(df, spec.sql(spec.scope) if spec.scope else None)
     df = standardize.with_defaults(df, spec.defaults)
+    for name, sql in spec.instants.items():
+        df = with_instant(df, F.expr(spec.sql(sql)), spec.timezone, f"_{name}", lenient=True)
+        df = df.withColumn(f"_{name}_utc", F.timestamp_micros(f"_{name}_utc_us")).drop(f"_{name}_utc_us")
     for name, sql in spec.derived.items():  # each may use those before it
         df = df.withColumn(name, F.expr(spec.sql(sql)))
     return df

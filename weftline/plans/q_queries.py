@@ -23,13 +23,18 @@ def query(sql: str | None = None):
     return add
 
 
-def classified(spark: SparkSession, d: str, name: str) -> DataFrame:
-    spec = contracts.ALL[name](f"{d}/{name}.parquet")
+def contract(d: str, name: str, plain: bool):
+    """plain: the SQL of q04 to q40 reads times in the plain notation only, so those queries do too."""
+    return contracts.ALL[name](f"{d}/{name}.parquet", **({"plain": True} if plain and name in ("taxi_trips", "air_quality") else {}))
+
+
+def classified(spark: SparkSession, d: str, name: str, plain: bool = True) -> DataFrame:
+    spec = contract(d, name, plain)
     return ingest.classified(table(spark, d, name), spec)
 
 
-def clean(spark: SparkSession, d: str, name: str) -> DataFrame:
-    spec = contracts.ALL[name](f"{d}/{name}.parquet")
+def clean(spark: SparkSession, d: str, name: str, plain: bool = True) -> DataFrame:
+    spec = contract(d, name, plain)
     return ingest.clean(ingest.classified(table(spark, d, name), spec), spec)
 
 
@@ -99,8 +104,8 @@ def q03_rules(spark, d):
 
 
 @query(f"WITH {TRIPS} SELECT reason, CAST(count(*) AS BIGINT) AS n_rows FROM trips_judged WHERE reason IS NOT NULL GROUP BY reason")
-def q04_reasons(spark, d):
-    return quality.rejected(classified(spark, d, "taxi_trips")).groupBy(F.col("_rejection_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+def q04_reasons(spark, d, plain=True):
+    return quality.rejected(classified(spark, d, "taxi_trips", plain)).groupBy(F.col("_rejection_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate) AS rk FROM lineitem) WHERE rk = 1""")
@@ -110,8 +115,8 @@ def q05_first_by_key(spark, d):
 
 
 @query(f"WITH {TRIPS} SELECT CAST(count(*) AS BIGINT) AS scoped, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS valid, CAST(count(reason) AS BIGINT) AS rejected, CAST(count(*) FILTER (reason = 'duplicate_key') AS BIGINT) AS duplicates FROM trips_judged")
-def q06_account(spark, d):
-    return quality.totals(classified(spark, d, "taxi_trips"))
+def q06_account(spark, d, plain=True):
+    return quality.totals(classified(spark, d, "taxi_trips", plain))
 
 
 @query(f"WITH {AIR} SELECT county, CAST(count(*) AS BIGINT) AS n FROM a1 GROUP BY county")
@@ -184,31 +189,31 @@ def q17_hourly_lookup(spark, d):
     return df.select("event_id", "mean_value", "matched", F.col("mean_value").isNull().alias("value_missing"))
 
 
-def _air(spark, d) -> integrate.Air:
-    return integrate.air_levels(clean(spark, d, "air_quality"))
+def _air(spark, d, plain=True) -> integrate.Air:
+    return integrate.air_levels(clean(spark, d, "air_quality", plain))
 
 
-def _sites(spark, d) -> DataFrame:
-    hourly = clean(spark, d, "air_quality").withColumn("air_hour", C.hour_bucket(F.col("observation_datetime")))
+def _sites(spark, d, plain=True) -> DataFrame:
+    hourly = clean(spark, d, "air_quality", plain).withColumn("air_hour", C.hour_bucket(F.col("observation_datetime")))
     return enrich.unit_means(hourly, ["state_code", "county_code", "site_number"], ["air_hour", "borough"], "sample_measurement_pm25")
 
 
 # Means are compared to 4 decimals after adding 1e-9, as ties are common and the engines differ in the last bit; the
 # operators themselves round to 2 decimals without that.
 @query(f"WITH {AIR} SELECT h AS air_hour, borough, site_number, round(m + 1e-9, 4) AS site_mean FROM sites")
-def q18_site_means(spark, d):
-    return _sites(spark, d).select(ntz("air_hour").alias("air_hour"), "borough", "site_number", F.round(F.col("unit_mean") + 1e-9, 4).alias("site_mean"))
+def q18_site_means(spark, d, plain=True):
+    return _sites(spark, d, plain).select(ntz("air_hour").alias("air_hour"), "borough", "site_number", F.round(F.col("unit_mean") + 1e-9, 4).alias("site_mean"))
 
 
 @query(f"WITH {AIR} SELECT h AS air_hour, borough, round(level + 1e-9, 4) AS level FROM levels")
-def q19_borough_means(spark, d):
-    df = enrich.level_means(_sites(spark, d), ["air_hour", "borough"], "level", 12)
+def q19_borough_means(spark, d, plain=True):
+    df = enrich.level_means(_sites(spark, d, plain), ["air_hour", "borough"], "level", 12)
     return df.select(ntz("air_hour").alias("air_hour"), "borough", F.round(F.col("level") + 1e-9, 4).alias("level"))
 
 
 @query(f"WITH {AIR} SELECT h AS air_hour, round(level + 1e-9, 4) AS level FROM city")
-def q20_city_means(spark, d):
-    df = enrich.level_means(_sites(spark, d), ["air_hour"], "level", 12)
+def q20_city_means(spark, d, plain=True):
+    df = enrich.level_means(_sites(spark, d, plain), ["air_hour"], "level", 12)
     return df.select(ntz("air_hour").alias("air_hour"), F.round(F.col("level") + 1e-9, 4).alias("level"))
 
 
@@ -219,15 +224,15 @@ j AS (SELECT t.*, coalesce(z.borough, 'Unknown') AS pickup_borough, z.location_i
  LEFT JOIN city c ON date_trunc('hour', timezone('UTC', t.pu)) = c.h)"""
 
 
-def _enriched(spark, d) -> DataFrame:
+def _enriched(spark, d, plain=True) -> DataFrame:
     """Clean trips with the place and air of their pickup; weather by the first station, so that an hour has one row."""
     weather = quality.first_by_key(clean(spark, d, "weather"), ["observation_datetime"], [F.col("station_id")])
-    return integrate.with_context(clean(spark, d, "taxi_trips"), "pickup", F.col("pickup_datetime"), clean(spark, d, "taxi_zones"), weather, _air(spark, d), True)
+    return integrate.with_context(clean(spark, d, "taxi_trips", plain), "pickup", F.col("pickup_datetime"), clean(spark, d, "taxi_zones"), weather, _air(spark, d, plain), True)
 
 
 @query(f"""WITH {TRIPS}, {ZONES}, {AIR}, {_JOINED} SELECT pickup_borough, CASE WHEN lb IS NOT NULL THEN 'borough' WHEN lc IS NOT NULL THEN 'citywide' ELSE 'missing' END AS source, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY ALL""")
-def q21_fallback(spark, d):
-    return _enriched(spark, d).groupBy("pickup_borough", F.col("pickup_pm25_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+def q21_fallback(spark, d, plain=True):
+    return _enriched(spark, d, plain).groupBy("pickup_borough", F.col("pickup_pm25_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT 'trips' AS side, CAST(row_id AS BIGINT) AS id FROM taxi_trips WHERE row_id NOT IN (SELECT row_id FROM integrated) UNION ALL SELECT 'integrated', row_id FROM integrated WHERE row_id NOT IN (SELECT row_id FROM taxi_trips)""")
@@ -244,13 +249,13 @@ def q23_distinct(spark, d):
 
 @query(f"""WITH {TRIPS}, {ZONES}, {AIR}, {_JOINED} SELECT CAST(count(*) FILTER (lb IS NOT NULL) AS BIGINT) AS pickup_pm25_source_borough_rows, CAST(count(*) FILTER (lb IS NULL AND lc IS NOT NULL) AS BIGINT) AS pickup_pm25_source_citywide_rows,
  CAST(count(*) FILTER (lb IS NULL AND lc IS NULL) AS BIGINT) AS pickup_pm25_source_missing_rows, CAST(count(*) FILTER (zone_matched) AS BIGINT) AS pickup_zone_matched_rows FROM j""")
-def q24_coverage(spark, d):
-    return enrich.coverage(_enriched(spark, d), ["pickup_pm25_source"], ["pickup_zone_matched"], integrate.LABELS)
+def q24_coverage(spark, d, plain=True):
+    return enrich.coverage(_enriched(spark, d, plain), ["pickup_pm25_source"], ["pickup_zone_matched"], integrate.LABELS)
 
 
 def _layout_query(name: str, rounded: tuple[str, ...] = ()):
-    def run(spark, d):
-        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": clean(spark, d, "taxi_trips"), "zones": clean(spark, d, "taxi_zones")})
+    def run(spark, d, plain=True):
+        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": clean(spark, d, "taxi_trips", plain), "zones": clean(spark, d, "taxi_zones")})
         return df.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in rounded})
 
     return run
@@ -338,12 +343,53 @@ def q39_missing_references(spark, d):
 
 
 @query(f"WITH {TRIPS} SELECT r AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT unnest(string_split(reason, ';')) AS r FROM trips_judged WHERE reason IS NOT NULL) GROUP BY 1")
-def q40_single_reasons(spark, d):
-    return quality.reason_counts(classified(spark, d, "taxi_trips"))
+def q40_single_reasons(spark, d, plain=True):
+    return quality.reason_counts(classified(spark, d, "taxi_trips", plain))
 
 
 @query()
 def q41_integrated(spark, d):
-    """Trips with the context of both ends; the account of its coverage is q24's."""
+    """Trips with the context of both ends, times in any notation; the account of its coverage is q24_coverage_any_time's."""
     weather = quality.first_by_key(clean(spark, d, "weather"), ["observation_datetime"], [F.col("station_id")])
-    return integrate.integrated(clean(spark, d, "taxi_trips"), clean(spark, d, "taxi_zones"), weather, clean(spark, d, "air_quality"))
+    return integrate.integrated(clean(spark, d, "taxi_trips", False), clean(spark, d, "taxi_zones"), weather, clean(spark, d, "air_quality", False))
+
+
+# The same over times in any notation: what the contracts accept unless told otherwise. Only the reading of the times differs.
+_OF_ZONE = r"(Z|GMT|UTC|EST|EDT|[+-]\d{2}:?\d{2}|America/New_York)"
+_STAMPS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%m/%d/%Y %I:%M:%S %p', '%d.%m.%Y %H:%M', '%b %d, %Y %I:%M %p', '%a, %d %b %Y %H:%M:%S', '%Y%m%d%H%M%S']"
+_DATES = "['%Y-%m-%d', '%m/%d/%Y', '%Y%m%d', '%d-%b-%Y', '%d.%m.%Y', '%b %d, %Y', '%Y-%j']"
+_CLOCKS = "['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H%M', '%Y-%m-%d %I:%M %p']"
+_MINUTES = "CASE {0} WHEN 'Z' THEN 0 WHEN 'GMT' THEN 0 WHEN 'UTC' THEN 0 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 ELSE try_cast({0}[1:3] AS INT) * 60 + try_cast({0}[1] || right({0}, 2) AS INT) END"
+_AT = "{w} - to_minutes(CAST(" + _MINUTES.format("{z}") + " AS BIGINT))"
+
+
+def _any_time(c: str, n: str) -> tuple[str, ...]:
+    """Columns for the zone of a trip's time, its wall clock as written, its instant if that needs no clock, and its wall clock in New York."""
+    x = f"trim({c})"
+    z = rf"CASE WHEN regexp_full_match({x}, '.*\d.*:\d{{2}}(\.\d+)? ?{_OF_ZONE}') THEN regexp_extract({x}, '{_OF_ZONE}$', 1) ELSE '' END AS z{n}"
+    w = rf"CASE WHEN regexp_full_match({x}, '\d{{10}}') THEN make_timestamp(CAST({x} AS BIGINT) * 1000000) WHEN regexp_full_match({x}, '\d{{13}}') THEN make_timestamp(CAST({x} AS BIGINT) * 1000) ELSE try_strptime(rtrim({x}[1:length({x}) - length(z{n})]), {_STAMPS}) END AS w{n}"
+    unix = rf"regexp_full_match({x}, '\d{{10}}|\d{{13}}')"
+    utc = f"CASE WHEN {unix} THEN w{n} WHEN z{n} NOT IN ('', 'America/New_York') THEN {_AT.format(w=f'w{n}', z=f'z{n}')} END AS u{n}"
+    local = f"CASE WHEN u{n} IS NULL THEN w{n} ELSE timezone('America/New_York', timezone('UTC', u{n})) END AS {n}"
+    return z, w, utc, local
+
+
+_P, _Q = _any_time("pickup_datetime", "p"), _any_time("dropoff_datetime", "q")
+_OLD = TRIPS[TRIPS.index("  CASE WHEN regexp_full_match(pickup") : TRIPS.index("FROM taxi_trips)")]
+ANY_TRIPS = TRIPS.replace(_OLD, f"  {', '.join(_P + _Q)} ")
+for _n in "pq":
+    # DuckDB takes the second instant of a repeated clock, the contracts the first.
+    _at = f"timezone('America/New_York', {_n})"
+    _first = f"CASE WHEN timezone('America/New_York', {_at} - INTERVAL 1 HOUR) = {_n} THEN {_at} - INTERVAL 1 HOUR ELSE {_at} END"
+    ANY_TRIPS = ANY_TRIPS.replace(f"{_at} AS {_n}u", f"coalesce(timezone('UTC', u{_n}), {_first}) AS {_n}u")
+_OLD = AIR[AIR.index("CASE WHEN regexp_full_match(date_gmt") : AIR.index(" AS seen")]
+_ZONE = rf"CASE WHEN regexp_full_match(time_gmt, '.*\d ?{_OF_ZONE}') THEN regexp_extract(time_gmt, '{_OF_ZONE}$', 1) ELSE '' END AS z"
+_WALL = f"try_strptime(trim(date_gmt), {_DATES}) + (try_strptime('2000-01-01 ' || trim(rtrim(time_gmt[1:length(time_gmt) - length(z)])), {_CLOCKS}) - TIMESTAMP '2000-01-01') AS w"
+_UTC = f"CASE z WHEN '' THEN w WHEN 'America/New_York' THEN timezone('UTC', timezone(z, w)) ELSE {_AT.format(w='w', z='z')} END"
+ANY_AIR = AIR.replace(_OLD, f"{_ZONE}, {_WALL}, {_UTC}")
+# Whole seconds count, as unix_timestamp has them; no plain time has others.
+ANY_TRIPS = ANY_TRIPS.replace("epoch(qu) - epoch(pu)", "floor(epoch(qu)) - floor(epoch(pu))")
+
+for _name in ("q04_reasons", "q06_account", "q18_site_means", "q19_borough_means", "q20_city_means", "q21_fallback", "q24_coverage", "q25_trips_per_borough", "q26_duration_per_day", "q27_fare_per_borough", "q28_one_day", "q29_one_month", "q40_single_reasons"):
+    QUERIES[f"{_name}_any_time"] = lambda spark, d, f=QUERIES[_name]: f(spark, d, False)
+    SQL[f"{_name}_any_time"] = SQL[_name].replace(TRIPS, ANY_TRIPS).replace(AIR, ANY_AIR)

@@ -50,7 +50,8 @@ def with_parameters(sql: str, parameters: Mapping[str, Any]) -> str:
 class DatasetSpec:
     """One dataset. rules: name to SQL condition, with ``:name`` tokens for parameters and ``:timezone``; a row passes where
     it is true. scope: SQL condition; rows for which it is false are out of scope. tie_break: what decides between valid rows
-    of one key, in order; without it the rows' JSON text does."""
+    of one key, in order; without it the rows' JSON text does. instants: name to SQL text of a time in any notation, wall
+    clock of the timezone if it names none; derived columns and rules may use ``_<name>_utc`` and ``_<name>_status``."""
 
     name: str
     format: str
@@ -60,6 +61,7 @@ class DatasetSpec:
     rename: Mapping[str, str] = field(default_factory=dict)
     casts: Mapping[str, str] = field(default_factory=dict)
     defaults: Mapping[str, Any] = field(default_factory=dict)
+    instants: Mapping[str, str] = field(default_factory=dict)
     derived: Mapping[str, str] = field(default_factory=dict)
     rules: Mapping[str, str] = field(default_factory=dict)
     parameters: Mapping[str, Any] = field(default_factory=dict)
@@ -78,7 +80,7 @@ class DatasetSpec:
         need(text(self.name), "name must be a text")
         need(self.format in FORMATS, f"format must be one of {FORMATS}")
         need(text(self.source_path) and text(self.timezone), "source_path and timezone must be texts")
-        for what in ("rename", "casts", "defaults", "derived", "rules", "parameters"):
+        for what in ("rename", "casts", "defaults", "instants", "derived", "rules", "parameters"):
             need(isinstance(getattr(self, what), Mapping), f"{what} must be a mapping")
         for what in ("required", "key", "partition_by", "selected", "tie_break"):
             value = getattr(self, what)
@@ -91,7 +93,7 @@ class DatasetSpec:
         need(set(self.casts) <= known, f"casts of columns that aren't required: {sorted(set(self.casts) - known)}")
         need(set(self.casts.values()) <= set(CAST_TYPES), f"cast types must be of {CAST_TYPES}")
         need(all(text(k) and text(v) for k, v in self.rules.items()), "rules must be named conditions")
-        for sql in [*self.rules.values(), *self.derived.values(), *([self.scope] if self.scope else [])]:
+        for sql in [*self.rules.values(), *self.instants.values(), *self.derived.values(), *([self.scope] if self.scope else [])]:
             self.sql(sql)
 
     def sql(self, text: str) -> str:
