@@ -109,3 +109,11 @@ def test_registered_mix_of_the_whole_corpus(spark, small):
     want, exponent = M.budgets(n, goal, repeats, total)
     assert 0 < exponent < 1 and all(abs(r["budget"] - b) <= 1 for r, b in zip(used, want))
     assert any(not r["reached"] for r in used)
+
+
+def test_small_targets_are_reached_by_their_own_size(spark):
+    mix = spark.createDataFrame([(1, "big", 9790, 1), (2, "half", 150, 1), (3, "two", 60, 1)], "doc_id long, source string, n_tokens long, copies int")
+    goals = [("big", 0.98), ("half", 0.005), ("two", 0.006), ("none", 0.009), ("free", None)]
+    planned = spark.createDataFrame([(s, g, 1, 1000, 1.0) for s, g in goals], "source string, target_share double, max_repeats int, n_available long, budget double")
+    got = {r["source"]: r["reached"] for r in M.shares(mix, planned).collect()}
+    assert got == {"big": True, "half": False, "two": True, "none": False, "free": True}

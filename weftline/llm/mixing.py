@@ -146,13 +146,17 @@ def realise(sized: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
     return sure.unionByName(edge).filter(copies > 0).select("doc_id", "source", "n_tokens", copies.alias("copies"))
 
 
-def shares(mix: DataFrame, planned: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Per source: what it should give, has, was asked for and gave, its share of the mix, and whether that is the target."""
+def shares(mix: DataFrame, planned: DataFrame, tolerance: float = 0.01, relative: float = 0.1) -> DataFrame:
+    """Per source: what it should give, has, was asked for and gave, its share of the mix, and whether that is the target.
+
+    A target is reached within ``tolerance``, and within ``relative`` of its own size, so never without tokens.
+    """
     used = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_used"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("n_docs"))
     table = planned.join(used, "source", "left").fillna(0, ["n_used", "most_copies", "n_docs"])
     whole = used.agg(F.coalesce(F.sum("n_used"), F.lit(0))).scalar()
     share = F.when(whole > 0, F.col("n_used") / whole).otherwise(0.0)
-    return table.select("source", "target_share", "max_repeats", "n_available", F.round("budget").cast("bigint").alias("budget"), "n_used", "n_docs", "most_copies", share.alias("reached_share"), (F.abs(share - F.coalesce("target_share", F.lit(0.0))) <= tolerance).alias("reached"))
+    target = F.coalesce("target_share", F.lit(0.0))
+    return table.select("source", "target_share", "max_repeats", "n_available", F.round("budget").cast("bigint").alias("budget"), "n_used", "n_docs", "most_copies", share.alias("reached_share"), (F.abs(share - target) <= F.least(F.lit(tolerance), F.when(target > 0, target * relative))).alias("reached"))
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, folder: str = TOKENIZERS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
