@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import p_grid_orphans, p_impute, p_instants, p_rejects_keys, q_queries
+from city import engine, grid_orphans, impute, instants, rejects_keys
 
-MODULES = (p_instants, p_grid_orphans, p_impute, p_rejects_keys, q_queries)
+MODULES = (instants, grid_orphans, impute, rejects_keys, engine)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

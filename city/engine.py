@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from city import reading_sql as R
+from city import specs
 from weftline.functions import columns as C
 from weftline.operators import enrich, quality, standardize
-from weftline.plans import contracts, ingest, integrate, layouts, products
+from weftline.plans import ingest, integrate, layouts, products
 from weftline.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -23,61 +25,62 @@ def query(sql: str | None = None):
     return add
 
 
-def contract(d: str, name: str, plain: bool):
-    """plain: the SQL of q04 to q40 reads times in the plain notation only, so those queries do too."""
-    return contracts.ALL[name](f"{d}/{name}.parquet", **({"plain": True} if plain and name in ("taxi_trips", "air_quality") else {}))
-
-
-def classified(spark: SparkSession, d: str, name: str, plain: bool = True) -> DataFrame:
-    spec = contract(d, name, plain)
+def classified(spark: SparkSession, d: str, name: str) -> DataFrame:
+    spec = specs.ALL[name](f"{d}/{name}.parquet")
     return ingest.classified(table(spark, d, name), spec)
 
 
-def clean(spark: SparkSession, d: str, name: str, plain: bool = True) -> DataFrame:
-    spec = contract(d, name, plain)
-    return ingest.clean(ingest.classified(table(spark, d, name), spec), spec)
-
-
-# The same contracts in SQL.
-_PLAIN = r"'\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}'"
-# By the text of the number: statistics of the files, which leave NaN out, would let isnan() be folded to false.
-_FINITE = "({0} IS NOT NULL AND {0} >= 0 AND CAST({0} AS VARCHAR) NOT IN ('nan', 'inf'))"
+def clean(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return ingest.clean(classified(spark, d, name), specs.ALL[name](f"{d}/{name}.parquet"))
+
+
+# The same specifications in SQL.
+_RULES = {
+    "pickup:instant": "coalesce(p_ok, false)",
+    "dropoff:instant": "coalesce(q_ok, false)",
+    "trip_duration_minutes:range": "coalesce(minutes >= 0, false)",
+    "pickup_location_id:present": "pickup_location_id IS NOT NULL",
+    "dropoff_location_id:present": "dropoff_location_id IS NOT NULL",
+    "passenger_count:range": "coalesce(passenger_count BETWEEN 0 AND 10, true)",
+    "tip_amount:range": f"(tip_amount IS NULL OR {R.FINITE.format('tip_amount')})",
+    "fare_amount:range": R.FINITE.format("fare_amount"),
+    "total_amount:range": R.FINITE.format("total_amount"),
+    "trip_distance:range": R.FINITE.format("trip_distance"),
+}
+_ERRORS = ", ".join(f"CASE WHEN NOT {good} THEN '{name}' END" for name, good in _RULES.items())
 TRIPS = f"""
-t0 AS (SELECT * REPLACE (coalesce(passenger_count, 1) AS passenger_count, coalesce(tip_amount, 0) AS tip_amount, coalesce(tolls_amount, 0) AS tolls_amount),
-  CASE WHEN regexp_full_match(pickup_datetime, {_PLAIN}) THEN try_strptime(pickup_datetime, '%Y-%m-%d %H:%M:%S') END AS p,
-  CASE WHEN regexp_full_match(dropoff_datetime, {_PLAIN}) THEN try_strptime(dropoff_datetime, '%Y-%m-%d %H:%M:%S') END AS q FROM taxi_trips),
-t1 AS (SELECT *, timezone('America/New_York', p) AS pu, timezone('America/New_York', q) AS qu FROM t0),
-t2 AS (SELECT *, round((epoch(qu) - epoch(pu)) / 60.0, 2) AS minutes, timezone('America/New_York', pu) = p AS p_ok, timezone('America/New_York', qu) = q AS q_ok FROM t1),
-t3 AS (SELECT *, concat_ws(';',
-  CASE WHEN NOT coalesce(p_ok, false) THEN 'valid_pickup_time' END,
-  CASE WHEN NOT coalesce(q_ok, false) THEN 'valid_dropoff_time' END,
-  CASE WHEN NOT coalesce(minutes > 0.1 AND minutes <= 1440, false) THEN 'valid_duration' END,
-  CASE WHEN NOT coalesce(year(p) = 2024 AND month(p) BETWEEN 1 AND 3, false) THEN 'valid_period' END,
-  CASE WHEN NOT coalesce(fare_amount BETWEEN 0 AND 5000, false) THEN 'valid_fare' END,
-  CASE WHEN NOT {_FINITE.format('total_amount')} THEN 'valid_total' END,
-  CASE WHEN NOT coalesce(trip_distance BETWEEN 0 AND 500, false) THEN 'valid_distance' END,
-  CASE WHEN NOT coalesce(passenger_count BETWEEN 0 AND 10, false) THEN 'valid_passengers' END,
-  CASE WHEN pickup_location_id IS NULL OR dropoff_location_id IS NULL THEN 'present_locations' END,
-  CASE WHEN NOT {_FINITE.format('tip_amount')} THEN 'valid_tip_amount' END,
-  CASE WHEN NOT {_FINITE.format('tolls_amount')} THEN 'valid_tolls_amount' END) AS errors FROM t2),
+t0 AS (SELECT *, {R.stamp('pickup_datetime', '1')}, {R.stamp('dropoff_datetime', '2')} FROM taxi_trips),
+t1 AS (SELECT *, {R.instant('1', 'NY')} AS pu, {R.instant('2', 'NY')} AS qu, {R.doubtful('1', 'NY')} AS p_doubt, {R.doubtful('2', 'NY')} AS q_doubt FROM t0),
+t2 AS (SELECT *, round((floor(epoch(qu)) - floor(epoch(pu))) / 60.0, 2) AS minutes, pu IS NOT NULL AND coalesce(p_doubt, '') <> 'skipped' AS p_ok, qu IS NOT NULL AND coalesce(q_doubt, '') <> 'skipped' AS q_ok, timezone({R.NY}, pu) AS p FROM t1),
+t3 AS (SELECT *, concat_ws(';', {_ERRORS}) AS errors FROM t2),
 t4 AS (SELECT *, CASE WHEN errors = '' THEN row_number() OVER (PARTITION BY errors = '', vendor_id, pu, qu, pickup_location_id, dropoff_location_id, fare_amount, trip_distance ORDER BY row_id) ELSE 1 END AS rk FROM t3),
 trips_judged AS (SELECT *, CASE WHEN errors <> '' THEN errors WHEN rk > 1 THEN 'duplicate_key' END AS reason FROM t4),
-trips AS (SELECT *, p AS pickup_local, p::date AS pickup_date, year(p) AS pickup_year, month(p) AS pickup_month, minutes AS trip_duration_minutes FROM trips_judged WHERE reason IS NULL)"""
+trips AS (SELECT *, p::date AS pickup_date, year(p) AS pickup_year, month(p) AS pickup_month, minutes AS trip_duration_minutes FROM trips_judged WHERE reason IS NULL)"""
 _TITLE = "array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(trim(borough)), ' ')], ' ')"
 ZONES = f"""
 z0 AS (SELECT location_id, {_TITLE} AS borough, trim(zone) AS zone, service_zone, listed_at FROM taxi_zones WHERE location_id IS NOT NULL AND trim(borough) <> ''),
 zones AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY listed_at NULLS FIRST, zone NULLS FIRST, borough, service_zone NULLS FIRST) AS rk FROM z0) WHERE rk = 1)"""
-AIR = """
+AIR = f"""
 a0 AS (SELECT *, CASE WHEN regexp_full_match(trim(county_code), '[+-]?\\d+') THEN try_cast(trim(county_code) AS INT) END AS county FROM air_quality),
-a1 AS (SELECT *, CASE county WHEN 5 THEN 'Bronx' WHEN 47 THEN 'Brooklyn' WHEN 61 THEN 'Manhattan' WHEN 81 THEN 'Queens' WHEN 85 THEN 'Staten Island' END AS borough,
-  CASE WHEN regexp_full_match(date_gmt, '\\d{4}-\\d{2}-\\d{2}') AND regexp_full_match(time_gmt, '\\d{2}:\\d{2}') THEN try_strptime(date_gmt || ' ' || time_gmt, '%Y-%m-%d %H:%M') END AS seen
+a1 AS (SELECT *, CASE county WHEN 5 THEN 'Bronx' WHEN 47 THEN 'Brooklyn' WHEN 61 THEN 'Manhattan' WHEN 81 THEN 'Queens' WHEN 85 THEN 'Staten Island' END AS borough, {R.hour_stamp('date_gmt', 'time_gmt')}
   FROM a0 WHERE coalesce(state_code = 36 AND county IN (5, 47, 61, 81, 85), true)),
-a2 AS (SELECT *, row_number() OVER (PARTITION BY state_code, county, site_number, poc, seen ORDER BY row_id) AS rk FROM a1
-  WHERE year(seen) = 2024 AND sample_measurement_pm25 BETWEEN 0 AND 1000 AND borough IS NOT NULL AND site_number IS NOT NULL AND poc IS NOT NULL),
-air AS (SELECT * FROM a2 WHERE rk = 1),
+a2 AS (SELECT *, timezone('UTC', {R.instant('', 'UTC')}) AS seen FROM a1 WHERE coalesce({R.doubtful('', 'UTC')}, '') <> 'skipped'),
+a3 AS (SELECT *, row_number() OVER (PARTITION BY state_code, county, site_number, poc, seen ORDER BY row_id) AS rk FROM a2
+  WHERE seen IS NOT NULL AND sample_measurement_pm25 BETWEEN 0 AND 1000 AND CAST(sample_measurement_pm25 AS VARCHAR) <> 'nan' AND borough IS NOT NULL AND site_number IS NOT NULL AND poc IS NOT NULL),
+air AS (SELECT * FROM a3 WHERE rk = 1),
 sites AS (SELECT date_trunc('hour', seen) AS h, borough, state_code, county, site_number, avg(sample_measurement_pm25) AS m FROM air GROUP BY ALL),
 levels AS (SELECT h, borough, avg(m) AS level FROM sites GROUP BY ALL),
 city AS (SELECT h, avg(m) AS level FROM sites GROUP BY ALL)"""
+_W = {"temperature_c": "-90 AND 60", "relative_humidity_pct": "0 AND 100"}
+_W_OPTIONAL = {"air_pressure_hpa": "800 AND 1100", "cloud_cover_oktas": "0 AND 8", "weather_condition_code": "0 AND 1e300"}
+_W_RULES = [f"{c} BETWEEN {r} AND CAST({c} AS VARCHAR) <> 'nan'" for c, r in _W.items()] + [R.FINITE.format("wind_speed_kmh"), f"(precipitation_mm IS NULL OR {R.FINITE.format('precipitation_mm')})"]
+_W_RULES += [f"({c} IS NULL OR ({c} BETWEEN {r} AND CAST({c} AS VARCHAR) NOT IN ('nan', 'inf')))" for c, r in _W_OPTIONAL.items()]
+WEATHER = f"""
+w0 AS (SELECT * REPLACE (CASE WHEN regexp_full_match(trim(hour), '[+-]?\\d+') THEN try_cast(trim(hour) AS INT) END AS hour) FROM weather),
+w1 AS (SELECT *, try_strptime(printf('%04d-%02d-%02d %02d', year, month, day, hour), '%Y-%m-%d %H') AS seen FROM w0 WHERE hour BETWEEN 0 AND 23 AND station_id IS NOT NULL AND {' AND '.join(_W_RULES)}),
+w2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id, seen ORDER BY row_id) AS rk FROM w1 WHERE seen IS NOT NULL) WHERE rk = 1),
+hours AS (SELECT seen AS h, avg(temperature_c) AS temperature_c, avg(relative_humidity_pct) AS relative_humidity_pct, avg(precipitation_mm) AS precipitation_mm, max(weather_condition_code) AS weather_condition_code,
+  avg(wind_speed_kmh) AS wind_speed_kmh, avg(air_pressure_hpa) AS air_pressure_hpa, avg(cloud_cover_oktas) AS cloud_cover_oktas FROM w2 GROUP BY 1)"""
 
 
 def ntz(c: str):
@@ -104,8 +107,8 @@ def q03_rules(spark, d):
 
 
 @query(f"WITH {TRIPS} SELECT reason, CAST(count(*) AS BIGINT) AS n_rows FROM trips_judged WHERE reason IS NOT NULL GROUP BY reason")
-def q04_reasons(spark, d, plain=True):
-    return quality.rejected(classified(spark, d, "taxi_trips", plain)).groupBy(F.col("_rejection_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+def q04_reasons(spark, d):
+    return quality.rejected(classified(spark, d, "taxi_trips")).groupBy(F.col("_rejection_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate) AS rk FROM lineitem) WHERE rk = 1""")
@@ -115,13 +118,13 @@ def q05_first_by_key(spark, d):
 
 
 @query(f"WITH {TRIPS} SELECT CAST(count(*) AS BIGINT) AS scoped, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS valid, CAST(count(reason) AS BIGINT) AS rejected, CAST(count(*) FILTER (reason = 'duplicate_key') AS BIGINT) AS duplicates FROM trips_judged")
-def q06_account(spark, d, plain=True):
-    return quality.totals(classified(spark, d, "taxi_trips", plain))
+def q06_account(spark, d):
+    return quality.totals(classified(spark, d, "taxi_trips"))
 
 
 @query(f"WITH {AIR} SELECT county, CAST(count(*) AS BIGINT) AS n FROM a1 GROUP BY county")
 def q07_scope(spark, d):
-    df = ingest.prepared(table(spark, d, "air_quality"), contracts.air_quality(d))
+    df = ingest.prepared(table(spark, d, "air_quality"), specs.air_quality(d))
     return df.groupBy(F.col("county_code").alias("county")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -176,7 +179,7 @@ def q15_calendar_key(spark, d):
 def q16_zone_lookup(spark, d):
     names = {f"pickup_{c}": c for c in ("borough", "zone", "service_zone")}
     trips = table(spark, d, "taxi_trips").select("row_id", "pickup_location_id")
-    df = enrich.looked_up(trips, enrich.broadcast_if_small(clean(spark, d, "taxi_zones")), {"pickup_location_id": "location_id"}, names, "pickup_zone_matched")
+    df = enrich.looked_up(trips, enrich.lookup(clean(spark, d, "taxi_zones")), {"pickup_location_id": "location_id"}, names, "pickup_zone_matched")
     return enrich.labelled(df, ["pickup_borough", "pickup_zone"]).drop("pickup_location_id")
 
 
@@ -185,77 +188,78 @@ def q16_zone_lookup(spark, d):
 def q17_hourly_lookup(spark, d):
     events = table(spark, d, "events").withColumn("_hour", C.hour_bucket(F.col("ts")))
     hourly = events.filter("event_type = 'error'").groupBy("_hour").agg(F.round(F.avg("value"), 4).alias("mean_value"))
-    df = enrich.looked_up(events, hourly, {"_hour": "_hour"}, {"mean_value": "mean_value"}, "matched")
+    df = enrich.looked_up(events, enrich.lookup(hourly), {"_hour": "_hour"}, {"mean_value": "mean_value"}, "matched")
     return df.select("event_id", "mean_value", "matched", F.col("mean_value").isNull().alias("value_missing"))
 
 
-def _air(spark, d, plain=True) -> integrate.Air:
-    return integrate.air_levels(clean(spark, d, "air_quality", plain))
-
-
-def _sites(spark, d, plain=True) -> DataFrame:
-    hourly = clean(spark, d, "air_quality", plain).withColumn("air_hour", C.hour_bucket(F.col("observation_datetime")))
+def _sites(spark, d) -> DataFrame:
+    hourly = clean(spark, d, "air_quality").withColumn("air_hour", C.hour_bucket(F.col("observation_datetime")))
     return enrich.unit_means(hourly, ["state_code", "county_code", "site_number"], ["air_hour", "borough"], "sample_measurement_pm25")
 
 
 # Means are compared to 4 decimals after adding 1e-9, as ties are common and the engines differ in the last bit; the
 # operators themselves round to 2 decimals without that.
 @query(f"WITH {AIR} SELECT h AS air_hour, borough, site_number, round(m + 1e-9, 4) AS site_mean FROM sites")
-def q18_site_means(spark, d, plain=True):
-    return _sites(spark, d, plain).select(ntz("air_hour").alias("air_hour"), "borough", "site_number", F.round(F.col("unit_mean") + 1e-9, 4).alias("site_mean"))
+def q18_site_means(spark, d):
+    return _sites(spark, d).select(ntz("air_hour").alias("air_hour"), "borough", "site_number", F.round(F.col("unit_mean") + 1e-9, 4).alias("site_mean"))
 
 
 @query(f"WITH {AIR} SELECT h AS air_hour, borough, round(level + 1e-9, 4) AS level FROM levels")
-def q19_borough_means(spark, d, plain=True):
-    df = enrich.level_means(_sites(spark, d, plain), ["air_hour", "borough"], "level", 12)
+def q19_borough_means(spark, d):
+    df = enrich.level_means(_sites(spark, d), ["air_hour", "borough"], "level", 12)
     return df.select(ntz("air_hour").alias("air_hour"), "borough", F.round(F.col("level") + 1e-9, 4).alias("level"))
 
 
 @query(f"WITH {AIR} SELECT h AS air_hour, round(level + 1e-9, 4) AS level FROM city")
-def q20_city_means(spark, d, plain=True):
-    df = enrich.level_means(_sites(spark, d, plain), ["air_hour"], "level", 12)
+def q20_city_means(spark, d):
+    df = enrich.level_means(_sites(spark, d), ["air_hour"], "level", 12)
     return df.select(ntz("air_hour").alias("air_hour"), F.round(F.col("level") + 1e-9, 4).alias("level"))
 
 
-_JOINED = """
-j AS (SELECT t.*, coalesce(z.borough, 'Unknown') AS pickup_borough, z.location_id IS NOT NULL AS zone_matched, l.level AS lb, c.level AS lc FROM trips t
- LEFT JOIN zones z ON t.pickup_location_id = z.location_id
- LEFT JOIN levels l ON date_trunc('hour', timezone('UTC', t.pu)) = l.h AND l.borough = coalesce(z.borough, 'Unknown')
- LEFT JOIN city c ON date_trunc('hour', timezone('UTC', t.pu)) = c.h)"""
+def _context(spark, d) -> integrate.Context:
+    return integrate.context(clean(spark, d, "taxi_zones"), clean(spark, d, "weather"), clean(spark, d, "air_quality"), digits=12)
 
 
-def _enriched(spark, d, plain=True) -> DataFrame:
-    """Clean trips with the place and air of their pickup; weather by the first station, so that an hour has one row."""
-    weather = quality.first_by_key(clean(spark, d, "weather"), ["observation_datetime"], [F.col("station_id")])
-    return integrate.with_context(clean(spark, d, "taxi_trips", plain), "pickup", F.col("pickup_datetime"), clean(spark, d, "taxi_zones"), weather, _air(spark, d, plain), True)
+def _end(e: str, at: str) -> str:
+    """Joins of one end of the trips."""
+    hour = f"date_trunc('hour', timezone('UTC', t.{at}))"
+    return f""" LEFT JOIN zones z_{e} ON t.{e}_location_id = z_{e}.location_id LEFT JOIN hours h_{e} ON {hour} = h_{e}.h LEFT JOIN city c_{e} ON {hour} = c_{e}.h
+ LEFT JOIN levels l_{e} ON {hour} = l_{e}.h AND l_{e}.borough = coalesce(z_{e}.borough, 'Unknown')"""
 
 
-@query(f"""WITH {TRIPS}, {ZONES}, {AIR}, {_JOINED} SELECT pickup_borough, CASE WHEN lb IS NOT NULL THEN 'borough' WHEN lc IS NOT NULL THEN 'citywide' ELSE 'missing' END AS source, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY ALL""")
-def q21_fallback(spark, d, plain=True):
-    return _enriched(spark, d, plain).groupBy("pickup_borough", F.col("pickup_pm25_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+_JOINED = f"""j AS (SELECT t.*, coalesce(z_pickup.borough, 'Unknown') AS pickup_borough, z_pickup.location_id IS NOT NULL AS zone_matched, h_pickup.h IS NOT NULL AS weather_matched, l_pickup.level AS lb, c_pickup.level AS lc FROM trips t {_end('pickup', 'pu')})"""
+_WITH = f"WITH {TRIPS}, {ZONES}, {AIR}, {WEATHER}"
 
 
-@query("""SELECT 'trips' AS side, CAST(row_id AS BIGINT) AS id FROM taxi_trips WHERE row_id NOT IN (SELECT row_id FROM integrated) UNION ALL SELECT 'integrated', row_id FROM integrated WHERE row_id NOT IN (SELECT row_id FROM taxi_trips)""")
+def _enriched(spark, d) -> DataFrame:
+    """Clean trips with the place, weather and air of their pickup."""
+    return integrate.with_context(clean(spark, d, "taxi_trips"), "pickup", F.col("pickup_datetime"), _context(spark, d), True)
+
+
+@query(f"""{_WITH}, {_JOINED} SELECT pickup_borough, CASE WHEN lb IS NOT NULL THEN 'borough' WHEN lc IS NOT NULL THEN 'citywide' ELSE 'missing' END AS source, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY ALL""")
+def q21_fallback(spark, d):
+    return _enriched(spark, d).groupBy("pickup_borough", F.col("pickup_pm25_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'lost' AS side, CAST(row_id AS BIGINT) AS key FROM taxi_trips WHERE row_id NOT IN (SELECT row_id FROM integrated) UNION ALL SELECT 'new', row_id FROM integrated WHERE row_id NOT IN (SELECT row_id FROM taxi_trips)""")
 def q22_anti_both_ways(spark, d):
-    a, b = table(spark, d, "taxi_trips").select("row_id"), table(spark, d, "integrated").select("row_id")
-    side = lambda x, y, n: x.join(y, "row_id", "left_anti").select(F.lit(n).alias("side"), F.col("row_id").alias("id"))
-    return side(a, b, "trips").unionAll(side(b, a, "integrated"))
+    return enrich.key_differences(table(spark, d, "taxi_trips"), table(spark, d, "integrated"), "row_id")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS n_keys FROM lineitem")
 def q23_distinct(spark, d):
-    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("l_orderkey").alias("n_keys"))
+    return enrich.key_counts(table(spark, d, "lineitem"), "l_orderkey")
 
 
-@query(f"""WITH {TRIPS}, {ZONES}, {AIR}, {_JOINED} SELECT CAST(count(*) FILTER (lb IS NOT NULL) AS BIGINT) AS pickup_pm25_source_borough_rows, CAST(count(*) FILTER (lb IS NULL AND lc IS NOT NULL) AS BIGINT) AS pickup_pm25_source_citywide_rows,
- CAST(count(*) FILTER (lb IS NULL AND lc IS NULL) AS BIGINT) AS pickup_pm25_source_missing_rows, CAST(count(*) FILTER (zone_matched) AS BIGINT) AS pickup_zone_matched_rows FROM j""")
-def q24_coverage(spark, d, plain=True):
-    return enrich.coverage(_enriched(spark, d, plain), ["pickup_pm25_source"], ["pickup_zone_matched"], integrate.LABELS)
+@query(f"""{_WITH}, {_JOINED} SELECT CAST(count(*) FILTER (lb IS NOT NULL) AS BIGINT) AS pickup_pm25_source_borough_rows, CAST(count(*) FILTER (lb IS NULL AND lc IS NOT NULL) AS BIGINT) AS pickup_pm25_source_citywide_rows,
+ CAST(count(*) FILTER (lb IS NULL AND lc IS NULL) AS BIGINT) AS pickup_pm25_source_missing_rows, CAST(count(*) FILTER (zone_matched) AS BIGINT) AS pickup_zone_matched_rows, CAST(count(*) FILTER (weather_matched) AS BIGINT) AS pickup_weather_matched_rows FROM j""")
+def q24_coverage(spark, d):
+    return enrich.coverage(_enriched(spark, d), ["pickup_pm25_source"], ["pickup_zone_matched", "pickup_weather_matched"], integrate.LABELS)
 
 
 def _layout_query(name: str, rounded: tuple[str, ...] = ()):
-    def run(spark, d, plain=True):
-        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": clean(spark, d, "taxi_trips", plain), "zones": clean(spark, d, "taxi_zones")})
+    def run(spark, d):
+        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": clean(spark, d, "taxi_trips"), "zones": clean(spark, d, "taxi_zones")})
         return df.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in rounded})
 
     return run
@@ -287,10 +291,12 @@ def q30_monthly_demand(spark, d):
     return products.monthly_demand(table(spark, d, "integrated"), "pickup_location_id", "observation_hour")
 
 
-@query(f"SELECT {_CONDITION} AS condition, round(avg(trip_duration_minutes) + 1e-9, 4) AS avg_minutes, CAST(count(*) AS BIGINT) AS trip_count FROM integrated WHERE trip_duration_minutes BETWEEN 0 AND 1440 GROUP BY 1")
-def q31_mean_by_weather(spark, d):
-    df = table(spark, d, "integrated").filter("trip_duration_minutes BETWEEN 0 AND 1440")
-    return products.mean_by_condition(df, _condition(), "trip_duration_minutes", "avg_minutes", 12).withColumn("avg_minutes", F.round(F.col("avg_minutes") + 1e-9, 4))
+@query(f"""SELECT {_CONDITION} AS condition, round(avg(trip_distance) + 1e-9, 4) AS avg_distance, CAST(count(*) AS BIGINT) AS trip_count
+ FROM integrated JOIN taxi_trips USING (row_id) WHERE {R.FINITE.format('trip_distance')} GROUP BY 1""")
+def q31_distance_by_weather(spark, d):
+    far = table(spark, d, "taxi_trips").filter("trip_distance >= 0 AND trip_distance < double('infinity')").select("row_id", "trip_distance")
+    df = table(spark, d, "integrated").join(far, "row_id")
+    return products.mean_by_condition(df, _condition(), "trip_distance", "avg_distance", 12).withColumn("avg_distance", F.round(F.col("avg_distance") + 1e-9, 4))
 
 
 @query("""WITH h AS (SELECT CAST(floor(pm25_citywide / 2.5) AS INT) AS band, observation_hour, count(*) AS n FROM integrated WHERE pm25_citywide BETWEEN 0 AND 1000 GROUP BY 1, 2)
@@ -343,53 +349,50 @@ def q39_missing_references(spark, d):
 
 
 @query(f"WITH {TRIPS} SELECT r AS reason, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT unnest(string_split(reason, ';')) AS r FROM trips_judged WHERE reason IS NOT NULL) GROUP BY 1")
-def q40_single_reasons(spark, d, plain=True):
-    return quality.reason_counts(classified(spark, d, "taxi_trips", plain))
+def q40_single_reasons(spark, d):
+    return quality.reason_counts(classified(spark, d, "taxi_trips"))
+
 
+_SQL_MEASURES = integrate.MEASURES | integrate.MORE_MEASURES
 
-@query()
+
+def _columns(e: str, more: bool) -> str:
+    measures = (f"round(h_{e}.{c} + 1e-9, 4) AS {e}_{n}" for n, c in _SQL_MEASURES.items() if more or n in integrate.MEASURES)
+    level = lambda x, n: f"round({x} + 1e-9, 4) AS {e}_{n}"
+    return ", ".join([
+        f"coalesce(z_{e}.borough, 'Unknown') AS {e}_borough", f"coalesce(z_{e}.zone, 'Unknown') AS {e}_zone", f"z_{e}.service_zone AS {e}_service_zone", f"z_{e}.location_id IS NOT NULL AS {e}_zone_matched",
+        *measures, f"h_{e}.h IS NOT NULL AS {e}_weather_matched", f"h_{e}.precipitation_mm IS NULL AS {e}_precipitation_missing",
+        level(f"l_{e}.level", "pm25_borough"), level(f"c_{e}.level", "pm25_citywide"), level(f"coalesce(l_{e}.level, c_{e}.level)", "pm25"),
+        f"CASE WHEN l_{e}.level IS NOT NULL THEN 'borough' WHEN c_{e}.level IS NOT NULL THEN 'citywide' ELSE 'missing' END AS {e}_pm25_source",
+    ])
+
+
+@query(f"""{_WITH} SELECT t.row_id, {_columns('pickup', True)}, {_columns('dropoff', False)} FROM trips t {_end('pickup', 'pu')} {_end('dropoff', 'qu')}""")
 def q41_integrated(spark, d):
-    """Trips with the context of both ends, times in any notation; the account of its coverage is q24_coverage_any_time's."""
-    weather = quality.first_by_key(clean(spark, d, "weather"), ["observation_datetime"], [F.col("station_id")])
-    return integrate.integrated(clean(spark, d, "taxi_trips", False), clean(spark, d, "taxi_zones"), weather, clean(spark, d, "air_quality", False))
-
-
-# The same over times in any notation: what the contracts accept unless told otherwise. Only the reading of the times differs.
-_OF_ZONE = r"(Z|GMT|UTC|EST|EDT|[+-]\d{2}:?\d{2}|America/New_York)"
-_STAMPS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%m/%d/%Y %I:%M:%S %p', '%d.%m.%Y %H:%M', '%b %d, %Y %I:%M %p', '%a, %d %b %Y %H:%M:%S', '%Y%m%d%H%M%S']"
-_DATES = "['%Y-%m-%d', '%m/%d/%Y', '%Y%m%d', '%d-%b-%Y', '%d.%m.%Y', '%b %d, %Y', '%Y-%j']"
-_CLOCKS = "['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H%M', '%Y-%m-%d %I:%M %p']"
-_MINUTES = "CASE {0} WHEN 'Z' THEN 0 WHEN 'GMT' THEN 0 WHEN 'UTC' THEN 0 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 ELSE try_cast({0}[1:3] AS INT) * 60 + try_cast({0}[1] || right({0}, 2) AS INT) END"
-_AT = "{w} - to_minutes(CAST(" + _MINUTES.format("{z}") + " AS BIGINT))"
-
-
-def _any_time(c: str, n: str) -> tuple[str, ...]:
-    """Columns for the zone of a trip's time, its wall clock as written, its instant if that needs no clock, and its wall clock in New York."""
-    x = f"trim({c})"
-    z = rf"CASE WHEN regexp_full_match({x}, '.*\d.*:\d{{2}}(\.\d+)? ?{_OF_ZONE}') THEN regexp_extract({x}, '{_OF_ZONE}$', 1) ELSE '' END AS z{n}"
-    w = rf"CASE WHEN regexp_full_match({x}, '\d{{10}}') THEN make_timestamp(CAST({x} AS BIGINT) * 1000000) WHEN regexp_full_match({x}, '\d{{13}}') THEN make_timestamp(CAST({x} AS BIGINT) * 1000) ELSE try_strptime(rtrim({x}[1:length({x}) - length(z{n})]), {_STAMPS}) END AS w{n}"
-    unix = rf"regexp_full_match({x}, '\d{{10}}|\d{{13}}')"
-    utc = f"CASE WHEN {unix} THEN w{n} WHEN z{n} NOT IN ('', 'America/New_York') THEN {_AT.format(w=f'w{n}', z=f'z{n}')} END AS u{n}"
-    local = f"CASE WHEN u{n} IS NULL THEN w{n} ELSE timezone('America/New_York', timezone('UTC', u{n})) END AS {n}"
-    return z, w, utc, local
-
-
-_P, _Q = _any_time("pickup_datetime", "p"), _any_time("dropoff_datetime", "q")
-_OLD = TRIPS[TRIPS.index("  CASE WHEN regexp_full_match(pickup") : TRIPS.index("FROM taxi_trips)")]
-ANY_TRIPS = TRIPS.replace(_OLD, f"  {', '.join(_P + _Q)} ")
-for _n in "pq":
-    # DuckDB takes the second instant of a repeated clock, the contracts the first.
-    _at = f"timezone('America/New_York', {_n})"
-    _first = f"CASE WHEN timezone('America/New_York', {_at} - INTERVAL 1 HOUR) = {_n} THEN {_at} - INTERVAL 1 HOUR ELSE {_at} END"
-    ANY_TRIPS = ANY_TRIPS.replace(f"{_at} AS {_n}u", f"coalesce(timezone('UTC', u{_n}), {_first}) AS {_n}u")
-_OLD = AIR[AIR.index("CASE WHEN regexp_full_match(date_gmt") : AIR.index(" AS seen")]
-_ZONE = rf"CASE WHEN regexp_full_match(time_gmt, '.*\d ?{_OF_ZONE}') THEN regexp_extract(time_gmt, '{_OF_ZONE}$', 1) ELSE '' END AS z"
-_WALL = f"try_strptime(trim(date_gmt), {_DATES}) + (try_strptime('2000-01-01 ' || trim(rtrim(time_gmt[1:length(time_gmt) - length(z)])), {_CLOCKS}) - TIMESTAMP '2000-01-01') AS w"
-_UTC = f"CASE z WHEN '' THEN w WHEN 'America/New_York' THEN timezone('UTC', timezone(z, w)) ELSE {_AT.format(w='w', z='z')} END"
-ANY_AIR = AIR.replace(_OLD, f"{_ZONE}, {_WALL}, {_UTC}")
-# Whole seconds count, as unix_timestamp has them; no plain time has others.
-ANY_TRIPS = ANY_TRIPS.replace("epoch(qu) - epoch(pu)", "floor(epoch(qu)) - floor(epoch(pu))")
-
-for _name in ("q04_reasons", "q06_account", "q18_site_means", "q19_borough_means", "q20_city_means", "q21_fallback", "q24_coverage", "q25_trips_per_borough", "q26_duration_per_day", "q27_fare_per_borough", "q28_one_day", "q29_one_month", "q40_single_reasons"):
-    QUERIES[f"{_name}_any_time"] = lambda spark, d, f=QUERIES[_name]: f(spark, d, False)
-    SQL[f"{_name}_any_time"] = SQL[_name].replace(TRIPS, ANY_TRIPS).replace(AIR, ANY_AIR)
+    """Trips with the context of both ends; of the trips' own columns the id alone."""
+    df = integrate.integrated(clean(spark, d, "taxi_trips"), _context(spark, d))
+    added = [c for c in df.columns if c.startswith(("pickup_", "dropoff_")) and c not in specs.trips("x").required and c not in R_CALENDAR]
+    codes = {f"{e}_weather_code" for e in ("pickup", "dropoff")}
+    return df.select("row_id", *(F.round(F.col(c) + 1e-9, 4).alias(c) if t == "double" or c in codes else F.col(c) for c, t in df.dtypes if c in added))
+
+
+R_CALENDAR = tuple(f"pickup_{x}" for x in ("local_datetime", "date", "year", "month", "day", "hour"))
+
+
+@query("""WITH h AS (SELECT observation_hour, count(*) AS n, avg(pm25_citywide) AS level FROM integrated WHERE pm25_citywide BETWEEN 0 AND 1000 AND CAST(pm25_citywide AS VARCHAR) <> 'nan' GROUP BY 1)
+ SELECT CAST(count(*) AS BIGINT) AS n_hours, round(corr(n, level), 6) AS correlation FROM h""")
+def q42_air_and_demand(spark, d):
+    return products.level_correlation(table(spark, d, "integrated").filter("pm25_citywide BETWEEN 0 AND 1000"), "pm25_citywide", "observation_hour")
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY '{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS r FROM orders WHERE o_orderstatus <> 'P') WHERE r = 1""")
+def q43_first_by_json(spark, d):
+    """Without a tie break the rows' JSON text decides between valid rows of one key."""
+    df = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return standardize.projected(quality.accepted(quality.classified(df, {"status": "o_orderstatus <> 'P'"}, ["o_custkey"])), None)
+
+
+@query(f"WITH {WEATHER} SELECT h AS hour, {', '.join(f'round({c} + 1e-9, 4) AS {c}' for c in _SQL_MEASURES.values())} FROM hours")
+def q44_hourly_weather(spark, d):
+    df = integrate.hourly_weather(clean(spark, d, "weather"))
+    return df.select(ntz("hour").alias("hour"), *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in _SQL_MEASURES.values()))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from weftline.plans import catalogue
+from city import catalogue
 
 CORE = catalogue.queries()
 

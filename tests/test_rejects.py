@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from city import rejects_keys as P
 from weftline.operators import rejects
-from weftline.plans import p_rejects_keys as P
 
 LAYOUTS = {"w": ["a", "b", "c"], "q": ["a", "x"]}
 
@@ -51,7 +51,7 @@ def test_whole_numbers(spark):
     values = ["0", "23", "24", " 07 ", "007", "-1", "1.0", "0x1", "", "9" * 50, None, "1 2", "000000000000000000000000000005"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     got = [r[0] for r in df.orderBy("i").select(rejects.HOUR(F.col("v"))).collect()]
-    assert got == [True, True, False, True, True, False, False, False, False, False, None, False, True]
+    assert got == [0, 23, None, 7, 7, None, None, None, None, None, None, None, 5]
 
 
 def test_nothing_is_lost(spark, small):
@@ -63,3 +63,17 @@ def test_nothing_is_lost(spark, small):
 
 def test_empty(spark):
     assert parse(spark, []) == {}
+
+
+def test_line_breaks_and_characters_that_could_stand_for_them(spark):
+    odd = "\ue000\ue001\ue00a\ue00d"
+    got = parse(spark, [("w", f'1,"a\nb\r{odd}",3'), ("w", f"{odd},2,3")])
+    assert got[0]["b"] == f"a\nb\r{odd}" and got[1]["a"] == odd
+
+
+def test_casts_and_reasons(spark):
+    df = spark.createDataFrame([(1, "07", "8:00 PM"), (2, "24", "x"), (3, None, None)], "id int, h string, c string")
+    casts = [rejects.Cast("h", "hour", "bad_hour", rejects.HOUR), rejects.Cast("c", "s", "bad_clock", rejects.CLOCK)]
+    good, bad = rejects.split_rows(rejects.with_casts(df, casts))
+    assert [(r["id"], r["hour"], r["s"], r["h"]) for r in good.orderBy("id").collect()] == [(1, 7, 72000, "07"), (3, None, None, None)]
+    assert [(r["id"], r["reasons"], r["h"]) for r in bad.collect()] == [(2, ["bad_hour", "bad_clock"], "24")]

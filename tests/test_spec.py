@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from weftline.plans import contracts, run
+from city import specs
+from weftline.plans import run
 from weftline.plans.spec import DatasetSpec, Platform, snake_case, standard_names, with_parameters
 
 DATASET = {"format": "parquet", "source_path": "/x/*.parquet", "required": ["LocationID", "Borough"], "key": ["location_id"], "rename": {"LocationID": "location_id"}, "casts": {"location_id": "int"}, "rules": {"r": "location_id > :least"}, "parameters": {"least": 0}}
@@ -39,7 +40,7 @@ def test_broken_datasets(change):
     "change",
     [
         {"platform": {"version": "", "root": "/t"}}, {"platform": None}, {"session": {"shuffle_partitions": 0}}, {"session": {"shuffle_partitions": True}},
-        {"session": {"adaptive": 1}}, {"session": {"nope": 1}}, {"datasets": {}}, {"datasets": {"zones": 3}}, {"iterations": 0}, {"iterations": True},
+        {"session": {"adaptive": 1}}, {"session": {"nope": 1}}, {"datasets": {}}, {"datasets": {"zones": 3}}, {"iterations": 5}, {"integration": 3}, {"integration": {}}, {"benchmark": {"root": "/b"}}, {"datasets": {"zones": DATASET, "a/../zones": DATASET}},
     ],
 )
 def test_broken_platforms(change):
@@ -56,7 +57,7 @@ def test_loads_yaml(tmp_path):
 
 
 def test_contracts_are_valid():
-    assert {n: f("/x").name for n, f in contracts.ALL.items()} == {n: n for n in contracts.ALL}
+    assert {n: f("/x").name for n, f in specs.ALL.items()} == {n: n for n in specs.ALL}
 
 
 def test_json_replaces_whole(tmp_path):
@@ -67,3 +68,26 @@ def test_json_replaces_whole(tmp_path):
 
 def test_one_handler_a_name():
     assert len(run.logger("t").handlers) == 1 and len(run.logger("t").handlers) == 1
+
+
+FOUR = {**PLATFORM, "datasets": {n: DATASET for n in ("taxi_trips", "taxi_zones", "weather", "other")}}
+ROLES = {"air": "other", "partition_by": ["pickup_year"]}
+
+
+def test_integration_and_benchmark():
+    made = Platform.of({**FOUR, "integration": ROLES, "benchmark": {"root": "/t/layouts", "iterations": 2}})
+    assert made.integration.roles["air"] == "other" and made.integration.partition_by == ("pickup_year",) and made.benchmark.iterations == 2
+    assert "/t/silver/integrated" in made.outputs() and "/t/layouts" in made.outputs()
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"integration": {}}, {"integration": {"air": "gone"}}, {"integration": {**ROLES, "partition_by": ["a", "a"]}}, {"integration": {**ROLES, "nope": 1}},
+        {"benchmark": {}}, {"benchmark": {"root": " "}}, {"benchmark": {"root": "/b", "iterations": 0}}, {"benchmark": {"root": "/b", "iterations": True}}, {"benchmark": {"root": "/b", "nope": 1}},
+        {"benchmark": {"root": "/t/silver/../silver/integrated"}}, {"benchmark": {"root": "/t/silver"}}, {"benchmark": 3},
+    ],
+)
+def test_broken_integration_and_benchmark(change):
+    with pytest.raises(ValueError):
+        Platform.of({**FOUR, "integration": ROLES, **change})

@@ -1,12 +1,14 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.plans import contracts, ingest, layouts, monitoring, run
+from city import specs as city
+from weftline.plans import ingest, layouts, monitoring, run
 from weftline.plans.products import Products
-from weftline.plans.spec import DatasetSpec, Platform
+from weftline.plans.spec import ROLES, Benchmark, DatasetSpec, Integration, Platform
 from weftline.sources import readers
 from weftline.sources.store import Store
 
@@ -75,43 +77,93 @@ def test_failures(spark, store, tmp_path):
         readers.load(spark, "xlsx", "/x")
 
 
+def platform_of(small, root, **change):
+    specs = {n: f(f"{small}/{n}.parquet") for n, f in city.ALL.items()} | change
+    return Platform("2.0", f"{root}/t", specs, integration=Integration(ROLES, ("pickup_year",)), benchmark=Benchmark(f"{root}/layouts", 1))
+
+
 def test_whole_run(spark, small, tmp_path):
-    specs = {n: f(f"{small}/{n}.parquet") for n, f in contracts.ALL.items()}
-    platform = Platform("2.0", str(tmp_path / "t"), specs)
-    # One station, as an hour of weather must be one row.
-    one = tmp_path / "weather.parquet"
-    spark.read.parquet(f"{small}/weather.parquet").filter("station_id = 1").write.parquet(str(one))
-    specs["weather"] = contracts.weather(str(one))
+    platform = platform_of(small, tmp_path)
     summary = run.run(platform, spark, str(tmp_path / "s"))
     saved = json.loads((tmp_path / "s" / "latest.json").read_text())
     assert summary["status"] == saved["status"] == "success" and saved["run_id"] == summary["run_id"]
     store = Store(spark, platform.root)
-    assert store.read("silver/integrated").count() == store.read("silver/taxi_trips").count() == summary["integration"]["total_records"] > 0
+    n = store.read("silver/taxi_trips").count()
+    assert store.read("silver/integrated").count() == n == summary["integration"]["total_records"] > 0
     assert store.read_appended("metadata/ingestions").select("run_id").distinct().count() == 1
-    broken = Platform("2.0", str(tmp_path / "u"), {**specs, "weather": contracts.weather("/nowhere.parquet")})
-    with pytest.raises(Exception):
-        run.run(broken, spark, str(tmp_path / "s"))
-    assert json.loads((tmp_path / "s" / "latest.json").read_text())["status"] == "failed" and not Store(spark, broken.root).exists("silver/taxi_zones")
+    found, trips = summary["benchmark"], summary["ingestion"]["taxi_trips"]
+    for s in found["storage"].values():
+        assert (s["source_records"], s["rejected_records"], s["out_of_scope_records"], s["rows"]) == (trips["initial"], trips["rejected"], 0, n)
+    text = (tmp_path / "s" / f"layouts_{summary['run_id']}.md").read_text()
+    assert text == layouts.report(found) and "schema version 2.0" in text and "raw rows" in text and "| one_month |" in text
+
+
+def test_preflight_stops_a_run_before_it_writes(spark, small, tmp_path):
+    from dataclasses import replace
+
+    gone = platform_of(small, tmp_path / "a", weather=city.weather("/nowhere.parquet"))
+    unknown = replace(platform_of(small, tmp_path / "b"), integration=Integration(ROLES, ("no_such_column",)))
+    for platform in (gone, unknown):
+        with pytest.raises(Exception):
+            run.run(platform, spark, str(tmp_path / "s"))
+        assert json.loads((tmp_path / "s" / "latest.json").read_text())["status"] == "failed" and not Store(spark, platform.root).exists("bronze/taxi_zones")
+
+
+def test_command(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(run.Platform, "load", lambda path: path)
+    monkeypatch.setattr(run, "run", lambda platform, **kw: seen.update(kw, platform=platform))
+    for args, skipped in (([], False), (["--skip-benchmark"], True)):
+        assert run.main(["--config", "p.yaml", *args]) == 0
+        assert seen == {"platform": "p.yaml", "summaries": "summaries", "skip_benchmark": skipped}
+
+
+def rows_read(spark):
+    """Rows that all stages so far have read from files, by stage."""
+    jvm = spark._jvm
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {s.stageId(): s.inputRecords() for s in jvm.scala.jdk.CollectionConverters.SeqHasAsJava(stages).asJava()}
 
 
 def test_layouts(spark, small, tmp_path):
-    spec = contracts.trips(f"{small}/taxi_trips.parquet")
-    make = lambda: ingest.clean(ingest.classified(spark.read.parquet(spec.source_path), spec), spec)
-    zone = contracts.zones(f"{small}/taxi_zones.parquet")
+    zone = city.zones(f"{small}/taxi_zones.parquet")
     zones = ingest.clean(ingest.classified(spark.read.parquet(zone.source_path), zone), zone)
-    result = layouts.compare(make, zones, str(tmp_path), "r", 2)
+    result = layouts.compare(city.trips(f"{small}/taxi_trips.parquet"), zones, str(tmp_path), "r", 2, "1")
     assert result["equivalent"] and len({s["rows"] for s in result["storage"].values()}) == 1
     assert "Join" in result["queries"]["one_day"]["plain"]["physical_plan"]
     assert "PartitionFilters: [isnotnull(pickup_date" in result["queries"]["one_day"]["daily"]["physical_plan"]
     assert "PartitionFilters: [isnotnull(pickup_year" in result["queries"]["one_month"]["monthly"]["physical_plan"]
     assert "PushedFilters: [IsNotNull(pickup_date)" in result["queries"]["one_day"]["plain"]["physical_plan"]
-    text = layouts.report(result)
-    assert "| daily |" in text and "| one_month |" in text
-    for bad in ({"status": "failed"}, {"equivalent": False}, {"queries": {}}):
+    for bad in ({"status": "failed"}, {"equivalent": False}, {"queries": {}}, {"input_kind": "clean"}):
         with pytest.raises(ValueError):
             layouts.report({**result, **bad})
 
 
+def test_every_sample_reads_its_input(spark, small, tmp_path, monkeypatch):
+    """Each sample of each query reads the rows again: a frame that has run would keep its finished stages."""
+    reads, inner = [], layouts.latency
+
+    def counted(action, iterations, before=lambda: None):
+        def once():
+            old = rows_read(spark)
+            out = action()
+            deadline = 100
+            while deadline and not (new := sum(n for k, n in rows_read(spark).items() if k not in old)):
+                deadline -= 1
+                time.sleep(0.05)
+            reads.append(new)
+            return out
+
+        return inner(once, iterations, before)
+
+    monkeypatch.setattr(layouts, "latency", counted)
+    monkeypatch.setattr(layouts, "QUERIES", {"trips_per_borough": layouts.QUERIES["trips_per_borough"]})
+    zone = city.zones(f"{small}/taxi_zones.parquet")
+    zones = ingest.clean(ingest.classified(spark.read.parquet(zone.source_path), zone), zone)
+    result = layouts.compare(city.trips(f"{small}/taxi_trips.parquet"), zones, str(tmp_path), "r", 2)
+    assert len(reads) == 9 and all(n >= result["rows"] for n in reads)
+
+
 def test_equal_rows_and_latency():
     assert layouts.equal_rows([("a", 1.0), ("b", None)], [("b", None), ("a", 1.0 + 1e-12)])
     assert not layouts.equal_rows([("a", 1.0)], [("a", 1.1)]) and not layouts.equal_rows([("a", 1.0)], []) and not layouts.equal_rows([("a",), ("a",)], [("a",), ("b",)])

@@ -7,12 +7,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A lookup of at most so many rows is broadcast; a larger one is left to Spark's own choice by measured size.
-BROADCAST_ROWS = 200_000
+from weftline.sources.shared import kept
 
+#: A lookup of at most so many bytes is broadcast.
+BROADCAST_BYTES = 32 << 20
+FIXED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes as they lie in memory: fixed columns by eight, others by the length of their text."""
+    long = [F.octet_length(F.col(f"`{c}`") if t in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`")))) for c, t in df.dtypes if t not in FIXED]
+    size = F.lit(16 + 8 * len(df.columns))
+    for c in long:
+        size = size + F.coalesce(c, F.lit(0))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return n, total
+
+
+def lookup(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Computed once, written to the shared folder and measured: broadcast up to ``most`` bytes. A larger one is joined by a
+    shuffle, whose hot keys Spark splits at run time."""
+    there = kept(df)
+    return F.broadcast(there) if measured(there)[1] <= most else there
 
 
 def require_unique(lookup: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -66,15 +82,25 @@ def with_fallback(df: DataFrame, sources: Mapping[str, str], name: str) -> DataF
     return df.withColumns({name: F.coalesce(*sources.values()), f"{name}_source": label})
 
 
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """One row: n_rows, and n_keys, the exact number of distinct keys that aren't null."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"))
+
+
+def key_differences(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """side, key: rows of ``before`` whose key ``after`` lacks (``lost``), and the other way round (``new``)."""
+    one = lambda a, b, side: a.select(key).join(b.select(key), key, "left_anti").select(F.lit(side).alias("side"), F.col(key).alias("key"))
+    return one(before, after, "lost").unionAll(one(after, before, "new"))
+
+
 def assert_same_keys(before: DataFrame, after: DataFrame, key: str) -> int:
     """Raises unless both have the same keys, none null or twice; else their number."""
     for df in (before, after):
-        n, distinct = df.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+        n, distinct = key_counts(df, key).first()
         if n != distinct:
             raise ValueError(f"{key}: null or repeated")
-    for a, b in ((before, after), (after, before)):
-        if not a.select(key).join(b.select(key), key, "left_anti").isEmpty():
-            raise ValueError(f"{key}: lost or replaced")
+    if not key_differences(before, after, key).isEmpty():
+        raise ValueError(f"{key}: lost or replaced")
     return n
 
 

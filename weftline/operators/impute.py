@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.enrich import broadcast_if_small
+from weftline.operators.enrich import lookup
 
 #: With more incomplete fields the patterns, at most two to their number, would be too many.
 MAX_FIELDS = 8
@@ -159,7 +159,7 @@ def with_group_mean(df: DataFrame, group: Sequence[Column], value: Column, name:
     keys = [f"_g{i}" for i in range(len(group))]
     keyed = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, name)), *(g.alias(k) for g, k in zip(group, keys)))
     means = keyed.filter(value.isNotNull()).groupBy(*keys).agg(F.avg(value).alias(name))
-    return keyed.join(broadcast_if_small(means), keys, "left").drop(*keys)
+    return keyed.join(lookup(means), keys, "left").drop(*keys)
 
 
 def with_nested_means(df: DataFrame, keys: Mapping[str, Column], value: Column, levels: Mapping[str, Sequence[Column]]) -> DataFrame:
@@ -177,4 +177,4 @@ def with_nested_means(df: DataFrame, keys: Mapping[str, Column], value: Column,
     means = base.select(*(F.col(n).alias(o) for n, o in zip(keys, own)), *levels)
     slim = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*levels, *own)), *(k.alias(f"_k{i}") for i, k in enumerate(keys.values())))
     same = reduce(lambda a, b: a & b, (F.col(f"_k{i}").eqNullSafe(F.col(o)) for i, o in enumerate(own)))
-    return slim.join(broadcast_if_small(means), same, "left").drop(*own, *(f"_k{i}" for i in range(len(keys))))
+    return slim.join(lookup(means), same, "left").drop(*own, *(f"_k{i}" for i in range(len(keys))))

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOOKKEEPING = ("_cast_errors", "_validation_errors", "_duplicate_rank", "_rejection_reason", "_in_scope")
-
+from weftline.operators.enrich import BROADCAST_BYTES, lookup
 
 def in_scope(df: DataFrame, condition: Column | str | None) -> DataFrame:
     """Without the rows for which the condition is false; where it is null, the row stays, for the rules to judge."""
@@ -30,34 +29,51 @@ def json_order(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))))
 
 
-def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str], tie_break: Sequence[str] | None = None, split: int = 16) -> DataFrame:
+def _order(df: DataFrame, tie_break: Sequence[str] | None) -> Column:
+    """Never null, and ordered as the columns are, nulls first. One whole number is itself, which sums up without sorting."""
+    if not tie_break:
+        return json_order(df)
+    if len(tie_break) == 1 and dict(df.dtypes)[tie_break[0]] in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col(f"`{tie_break[0]}`").cast("bigint"), F.lit(-(2**63)).cast("bigint"))
+    return F.struct(*(F.col(f"`{c}`") for c in tie_break))
+
+
+def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str], tie_break: Sequence[str] | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """Adds errors, the rank among rows of the same key, and ``_rejection_reason``, null for accepted rows.
 
     Valid and invalid rows are ranked apart, so an invalid one never displaces a valid one; of valid rows of a key the
     first by ``tie_break`` (else by JSON text) survives, whatever the order of the input. A reason is the errors joined by
-    semicolons, else ``duplicate_key``. Rows of a null key are rejected.
+    semicolons, else ``duplicate_key``. Rows of a null key are rejected. ``_duplicate_rank`` is 1 for the survivor and 2 for
+    the others.
 
-    A key may hold any share of the rows: its rows are first ranked in ``split`` parts, by the partition they come from,
-    and only the first of each part are then ranked together. With keys known to be nearly unique, split=1 saves the
-    second shuffle. ``_duplicate_rank`` is 1 for the survivor and more for the others, but no count of them.
+    Only keys and orders travel: they are counted by partial aggregation, at once, and the keys that occur twice come back
+    with their first order as a lookup of measured size (see enrich.lookup), so a key may hold any share of the rows. Only
+    rows that tie for the first place are sent anywhere, in as many parts as the input has. A name of the rows that begins
+    with an underscore may be replaced.
     """
     if not key:
         raise ValueError("a key is needed")
     checked = with_errors(df, rules, key)
-    checked = checked.withColumn("_valid", F.size("_validation_errors") == 0)
-    order = [F.col(f"`{c}`") for c in tie_break] if tie_break else [json_order(checked.drop("_valid"))]
-    # Rows that can't survive need no company: their part is drawn from many.
-    part = F.pmod(F.spark_partition_id(), F.when(F.col("_valid"), max(split, 1)).otherwise(1 << 16))
-    checked = checked.withColumn("_part", part)
-    keys = [*(F.col(f"`{k}`") for k in key), F.col("_valid")]
-    ranked = checked.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) == 1)
-    if split > 1:
-        apart = F.when(F.col("_first") & F.col("_valid"), -1).otherwise(F.col("_part"))
-        ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, apart).orderBy(F.desc("_first"), *order)))
-        ranked = ranked.withColumn("_first", F.col("_first") & (F.col("_rank") == 1)).drop("_rank")
-    ranked = ranked.withColumn("_duplicate_rank", F.when(~F.col("_valid") | F.col("_first"), 1).otherwise(2))
+    checked = checked.withColumns({"_order": _order(checked, tie_break), "_valid": F.size("_validation_errors") == 0, "_part": F.spark_partition_id()})
+    names = [f"_k{i}" for i in range(len(key))]
+    orders = checked.filter("_valid").groupBy(*(F.col(f"`{k}`").alias(n) for k, n in zip(key, names)), "_order").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = orders.groupBy(*names).agg(F.min("_order").alias("_first"), F.min_by("_n", "_order").alias("_ties"), F.sum("_n").alias("_n")).filter("_n > 1").drop("_n")
+    firsts = lookup(firsts, most)
+    joined = checked.join(firsts, [F.col(f"`{k}`") == F.col(n) for k, n in zip(key, names)], "left").drop(*names)
+    leads = F.col("_first").isNull() | (F.col("_order") == F.col("_first"))
+    tied = F.col("_valid") & F.coalesce((F.col("_order") == F.col("_first")) & (F.col("_ties") > 1), F.lit(False))
+    rank = F.when(~F.col("_valid") | leads, 1).otherwise(2)
+    if firsts.filter("_ties > 1").isEmpty():
+        ranked = joined.withColumn("_duplicate_rank", rank)
+    else:
+        keys = [F.col(f"`{k}`") for k in key]
+        one = Window.partitionBy(*keys, "_part").orderBy("_order")
+        some = joined.filter(tied).withColumn("_leads", F.row_number().over(one) == 1)
+        of_all = F.row_number().over(Window.partitionBy(*keys, F.when(F.col("_leads"), -1).otherwise(F.col("_part"))).orderBy("_order"))
+        some = some.withColumn("_duplicate_rank", F.when(F.col("_leads") & (of_all == 1), 1).otherwise(2)).drop("_leads")
+        ranked = joined.filter(~tied).withColumn("_duplicate_rank", rank).unionByName(some)
     reason = F.when(~F.col("_valid"), F.array_join("_validation_errors", ";")).when(F.col("_duplicate_rank") > 1, "duplicate_key")
-    return ranked.withColumn("_rejection_reason", reason).drop("_valid", "_part", "_first")
+    return ranked.withColumn("_rejection_reason", reason).drop("_valid", "_part", "_order", "_first", "_ties")
 
 
 def first_by_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

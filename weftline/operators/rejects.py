@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,36 +11,52 @@ import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.temporal import names_clock
+from weftline.functions.temporal import clock_seconds
 
 #: A line of whole quoted fields (quotes doubled inside) and fields without any quote.
 SOUND_QUOTING = r'\A(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*\z'
-#: Stands for line breaks inside a line while it is parsed.
-_BREAKS = {"\n": "", "\r": ""}
+def _stand_ins(values: pa.Array) -> dict[str, str]:
+    """For each kind of line break in the lines, a character of private use that none of them has."""
+    breaks = [b for b in "\n\r" if pc.any(pc.match_substring(values, b)).as_py()]
+    free = (chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE)) if not pc.any(pc.match_substring(values, chr(c))).as_py())
+    return {b: next(free) for b in breaks}
 
 
 def whole_number(value: Column, low: int, high: int) -> Column:
-    """Whether a text is plain digits (leading zeros and outer blanks allowed) within low..high. Null for null."""
+    """A text of plain digits (leading zeros and outer blanks allowed) as a number within low..high, else null."""
     digits = F.trim(value)
-    number = F.when(digits.rlike(r"\A[0-9]+\z"), F.regexp_replace(digits, r"\A0+(?=[0-9])", ""))
-    return F.when(value.isNotNull(), F.coalesce(number.try_cast("int").between(low, high), F.lit(False)))
+    number = F.when(digits.rlike(r"\A[0-9]+\z"), F.regexp_replace(digits, r"\A0+(?=[0-9])", "")).try_cast("int")
+    return F.when(number.between(low, high), number)
 
 
-#: What a cell must be, by rule; each gives null for a null cell, which fails no rule.
+#: Casts of cells: a value, or null where the text isn't one.
 HOUR = lambda c: whole_number(c, 0, 23)
 COUNTY = lambda c: whole_number(c, 1, 999)
-CLOCK = names_clock
+CLOCK = clock_seconds
 
 
-def with_reasons(df: DataFrame, rules: Mapping[str, Column], structural: Column | None = None) -> DataFrame:
-    """Adds ``reasons array<string>``: the structural reason alone where there is one, else a label per failing cell.
+@dataclass(frozen=True)
+class Cast:
+    """A text column cast to a new one; ``reason`` is the label of a cell that isn't null and can't be cast."""
 
-    rules: reason to whether the cell is good, null counting as good. All rows and columns stay; an empty array marks a
-    valid row. As the array is tied to the partition id, a filter on it doesn't run the rules a second time.
+    source: str
+    name: str
+    reason: str
+    cast: Callable[[Column], Column]
+
+
+def with_casts(df: DataFrame, casts: Sequence[Cast], structural: Column | None = None) -> DataFrame:
+    """Adds the casts, and ``reasons array<string>``: the structural reason alone where there is one, else a label per failing
+    cell. All rows and columns stay; an empty array marks a valid row. A null cell fails no cast.
+
+    As casts and array are tied to the partition id, a filter on them doesn't run the casts a second time. A column that
+    already has one of the names is replaced.
     """
-    failing = F.filter(F.array(*(F.when(~good, F.lit(reason)) for reason, good in rules.items())), lambda r: r.isNotNull())
+    once = F.spark_partition_id() >= 0
+    typed = df.withColumns({c.name: F.when(once, c.cast(F.col(f"`{c.source}`"))) for c in casts})
+    failing = F.filter(F.array(*(F.when(F.col(f"`{c.source}`").isNotNull() & F.col(c.name).isNull(), F.lit(c.reason)) for c in casts)), lambda r: r.isNotNull())
     reasons = failing if structural is None else F.when(structural.isNotNull(), F.array(structural)).otherwise(failing)
-    return df.withColumn("reasons", F.when(F.spark_partition_id() >= 0, reasons))
+    return typed.withColumn("reasons", F.when(once, reasons))
 
 
 def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +79,8 @@ def parse_lines(df: DataFrame, key: str, dataset: str, line: str, layouts: Mappi
         """Structural reasons of the lines of one layout, and their kept fields."""
         n = len(values)
         reasons: list[str | None] = [None] * n
-        for mark, stand_in in _BREAKS.items():
+        stand_ins = _stand_ins(values)
+        for mark, stand_in in stand_ins.items():
             values = pc.replace_substring(values, mark, stand_in)
         sound = pc.match_substring_regex(values, SOUND_QUOTING)
         empty = pc.equal(values, "")
@@ -96,7 +114,7 @@ def parse_lines(df: DataFrame, key: str, dataset: str, line: str, layouts: Mappi
         where = pa.array(place, pa.int64())
         for k in fields:
             column = table[k].combine_chunks().take(where)
-            for mark, stand_in in _BREAKS.items():
+            for mark, stand_in in stand_ins.items():
                 column = pc.replace_substring(column, stand_in, mark)
             fields[k] = column
         return reasons, fields

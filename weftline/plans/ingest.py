@@ -15,6 +15,7 @@ from weftline.functions.temporal import with_instant
 from weftline.operators import quality, standardize
 from weftline.plans.spec import DatasetSpec
 from weftline.sources import readers
+from weftline.sources.shared import materialised
 from weftline.sources.store import Store
 
 
@@ -32,18 +33,25 @@ def prepared(raw: DataFrame, spec: DatasetSpec) -> DataFrame:
     return df
 
 
+def rules(spec: DatasetSpec) -> dict[str, str]:
+    return {n: spec.sql(r) for n, r in spec.rules.items()}
+
+
 def classified(raw: DataFrame, spec: DatasetSpec) -> DataFrame:
-    return quality.classified(prepared(raw, spec), {n: spec.sql(r) for n, r in spec.rules.items()}, spec.key, spec.tie_break)
+    """Judged rows; keys that occur twice are found at once (see quality.classified), the rest is lazy."""
+    return quality.classified(prepared(readers.spread(raw), spec), rules(spec), spec.key, spec.tie_break)
 
 
 def clean(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     return standardize.projected(quality.accepted(df), spec.selected)
 
 
-def preflight(spark: SparkSession, spec: DatasetSpec) -> None:
-    """Resolves source, rules, output and partition columns without reading rows or writing anything."""
-    out = clean(classified(readers.load(spark, spec.format, spec.source_path), spec), spec)
+def preflight(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
+    """Resolves source, rules, output and partition columns without reading rows or writing anything; the clean table, empty."""
+    checked = quality.with_errors(prepared(readers.load(spark, spec.format, spec.source_path), spec), rules(spec), spec.key)
+    out = standardize.projected(checked, spec.selected)
     readers.require_columns(out, spec.partition_by, f"{spec.name} partitions")
+    return spark.createDataFrame([], out.schema)
 
 
 @dataclass(frozen=True)
@@ -59,16 +67,19 @@ class Outcome:
 def ingest(store: Store, spec: DatasetSpec, version: str, run_id: str | None = None, on_step: Callable[[str], None] = lambda s: None) -> Outcome:
     """Bronze, then rejects, then the clean table, then the audit row. A failure leaves an audit row with its message too.
 
-    Raw and classified rows are kept on disk meanwhile, so the source is read and judged once. Rejects are a batch of the
-    run's id: the same run written again replaces its own.
+    The source is read once, into bronze, and judged once, from there; judged rows lie in the shared folder meanwhile. Rejects
+    are a batch of the run's id: the same run written again replaces its own.
     """
     run_id, began = run_id or uuid4().hex, time.time()
     try:
         raw = readers.load(store.spark, spec.format, spec.source_path)
-        with readers.materialised(raw) as kept, readers.materialised(classified(kept, spec)) as judged:
-            found = quality.account(judged, kept.count())
-            store.overwrite(standardize.sanitised(kept).withColumn("_ingestion_timestamp", F.current_timestamp()), f"bronze/{spec.name}")
-            on_step("bronze")
+        quality.with_errors(prepared(raw, spec), rules(spec), spec.key)  # what can't be resolved fails before anything is written
+        bronze = f"bronze/{spec.name}"
+        stored = store.read(bronze, store.overwrite(standardize.sanitised(raw).withColumn("_ingestion_timestamp", F.current_timestamp()), bronze))
+        on_step("bronze")
+        read = stored.drop("_ingestion_timestamp").toDF(*raw.columns)
+        with materialised(classified(read, spec)) as judged:
+            found = quality.account(judged, read.count())
             stamps = {"_run_id": F.lit(run_id), "_schema_version": F.lit(version), "_rejected_at": F.current_timestamp()}
             store.append(quality.rejected(judged).withColumns(stamps), f"quarantine/{spec.name}", run_id)
             on_step("quarantine")

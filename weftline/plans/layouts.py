@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import platform
 import statistics
 import time
 from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.plans import ingest
+from weftline.plans.spec import DatasetSpec
 from weftline.sources import readers
 
 # Queries over {trips} and {zones}.
@@ -39,7 +43,11 @@ def equal_rows(a: Sequence[Sequence[Any]], b: Sequence[Sequence[Any]]) -> bool:
 
 
 def latency(action: Callable[[], Any], iterations: int, before: Callable[[], Any] = lambda: None) -> dict[str, Any]:
-    """One run to warm up, then so many that count, in milliseconds."""
+    """One run to warm up, then so many that count, in milliseconds.
+
+    The action must build its query anew: a frame that has run keeps its finished shuffle stages, so collecting it again
+    would time the last stage alone.
+    """
     action()
     samples = []
     for _ in range(iterations):
@@ -54,22 +62,36 @@ def physical_plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def compare(make: Callable[[], DataFrame], zones: DataFrame, root: str, run_id: str, iterations: int = 3) -> dict[str, Any]:
-    """Builds the rows anew for every layout, writes them, and runs every query on each, in turning order.
+METHODOLOGY = (
+    "Each layout is made from the raw rows: read, judged, written; one trial each, in one order.",
+    "The layouts' accepted rows must be equal in number, and every query's answers equal on all of them.",
+    "A query is built anew for every sample, after one run to warm up; caches of the session are cleared, those of the system are not.",
+    "Times alone don't prove that partitions were pruned; the physical plans are kept for that.",
+)
+
+
+def compare(spec: DatasetSpec, zones: DataFrame, root: str, run_id: str, iterations: int = 3, version: str = "") -> dict[str, Any]:
+    """Makes the clean rows anew for every layout, writes them, and runs every query on each, in turning order.
 
-    make gives the clean rows, from the raw ones. Raises if the layouts hold unequal numbers of rows.
+    zones are written once and read from there, as the rows are. Raises if the layouts hold unequal numbers of rows.
     """
     spark = zones.sparkSession
-    zones = readers.require_columns(zones, ["location_id", "borough"], "zones")
+    place = f"{root}/zones/{run_id}"
+    readers.require_columns(zones, ["location_id", "borough"], "zones").coalesce(1).write.mode("errorifexists").parquet(place)
+    zones = spark.read.parquet(place)
     storage, frames = {}, {}
     for name, columns in LAYOUTS.items():
         spark.catalog.clearCache()
         began, path = time.time(), f"{root}/{name}/{run_id}"
-        rows = make()
+        raw = readers.load(spark, spec.format, spec.source_path)
+        seen = Observation(f"{name}_{run_id}")
+        judged = ingest.classified(raw, spec).observe(seen, F.count(F.lit(1)).alias("scoped"), F.count("_rejection_reason").alias("rejected"))
+        rows = ingest.clean(judged, spec)
         rows = rows.hint("rebalance", *columns) if columns else rows
         rows.write.mode("errorifexists").partitionBy(*columns).parquet(path)
         frames[name] = spark.read.parquet(path)
-        storage[name] = {"ingestion_seconds": round(time.time() - began, 3), "rows": frames[name].count(), "path": path, **readers.inventory(spark, path)}
+        storage[name] = {"ingestion_seconds": round(time.time() - began, 3), "source_records": raw.count(), "rejected_records": seen.get["rejected"], "out_of_scope_records": 0, "rows": frames[name].count(), "path": path, **readers.inventory(spark, path)}
+        storage[name]["out_of_scope_records"] = storage[name]["source_records"] - seen.get["scoped"]
     if len({s["rows"] for s in storage.values()}) != 1:
         raise ValueError(f"the layouts differ in rows: { {n: s['rows'] for n, s in storage.items()} }")
     answers: dict[str, dict[str, Any]] = {}
@@ -79,25 +101,35 @@ def compare(make: Callable[[], DataFrame], zones: DataFrame, root: str, run_id:
         names = names[turn % len(names) :] + names[: turn % len(names)]
         first, answers[query] = None, {}
         for name in names:
-            df = run_sql(spark, sql, {"trips": frames[name], "zones": zones})
+            fresh = lambda n=name: run_sql(spark, sql, {"trips": frames[n], "zones": zones})
+            df = fresh()
             got = [tuple(r) for r in df.collect()]
             first = got if first is None else first
             equivalent &= equal_rows(first, got)
-            answers[query][name] = latency(df.collect, iterations, spark.catalog.clearCache) | {"physical_plan": physical_plan(df)}
-    return {"status": "success", "run_id": run_id, "rows": storage["plain"]["rows"], "storage": storage, "queries": answers, "equivalent": equivalent, "iterations": iterations}
+            answers[query][name] = latency(lambda: fresh().collect(), iterations, spark.catalog.clearCache) | {"physical_plan": physical_plan(df)}
+    runtime = {"python": platform.python_version(), "spark": spark.version, "platform": platform.platform(), "cores": spark.sparkContext.defaultParallelism}
+    return {
+        "status": "success", "run_id": run_id, "schema_version": version, "input_kind": "raw", "source_path": spec.source_path, "runtime": runtime, "methodology": list(METHODOLOGY),
+        "rows": storage["plain"]["rows"], "storage": storage, "queries": answers, "equivalent": equivalent, "iterations": iterations,
+    }
 
 
 def report(result: Mapping[str, Any]) -> str:
-    """The comparison as Markdown; results that aren't complete and equivalent are refused."""
+    """The comparison as Markdown; results that aren't complete, equivalent and made from raw rows are refused."""
     if result.get("status") != "success" or not result.get("equivalent"):
         raise ValueError("only a successful run with equal answers can be reported")
+    if result.get("input_kind") != "raw":
+        raise ValueError("only layouts made from raw rows can be reported")
     if set(result["storage"]) != set(LAYOUTS) or set(result["queries"]) != set(QUERIES) or any(set(q) != set(LAYOUTS) for q in result["queries"].values()):
         raise ValueError("layouts or queries are missing")
-    lines = [f"# Layouts over {result['rows']:,} rows", "", "| layout | written in s | MiB | data files |", "|---|---:|---:|---:|"]
-    lines += [f"| {n} | {s['ingestion_seconds']} | {s['bytes'] / 2**20:.2f} | {s['data_files']} |" for n, s in result["storage"].items()]
+    on = result["runtime"]
+    lines = [f"# Layouts over {result['rows']:,} rows", "", f"Input: {result['input_kind']} rows of {result['source_path']}; run {result['run_id']}, schema version {result['schema_version']}."]
+    lines += [f"Python {on['python']}, Spark {on['spark']}, {on['cores']} cores, {on['platform']}; {result['iterations']} samples a query."]
+    lines += ["", "| layout | written in s | source rows | rejected | out of scope | accepted | MiB | data files |", "|---|" + "---:|" * 7]
+    lines += [f"| {n} | {s['ingestion_seconds']} | {s['source_records']} | {s['rejected_records']} | {s['out_of_scope_records']} | {s['rows']} | {s['bytes'] / 2**20:.2f} | {s['data_files']} |" for n, s in result["storage"].items()]
     lines += ["", "| query | " + " | ".join(LAYOUTS) + " |", "|---|" + "---:|" * len(LAYOUTS)]
     lines += [f"| {q} | " + " | ".join(f"{by[n]['mean_ms']} ± {by[n]['stdev_ms']} ms" for n in LAYOUTS) + " |" for q, by in result["queries"].items()]
-    return "\n".join(lines) + "\n"
+    return "\n".join([*lines, "", *(f"- {m}" for m in result["methodology"])]) + "\n"
 
 
 # Settings worth a comparison, by name.

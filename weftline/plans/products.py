@@ -36,6 +36,12 @@ def demand_by_level(trips: DataFrame, level: str, at: str, width: float = 2.5) -
     return hours.groupBy("band").agg(F.sum("trip_count").alias("trip_count"), _n().alias("n_hours"), F.round(F.avg("trip_count"), 4).alias("trips_per_hour"))
 
 
+def level_correlation(trips: DataFrame, level: str, at: str) -> DataFrame:
+    """One row: the number of hours, and how the trips of an hour go with its level (Pearson; null without spread)."""
+    hours = trips.groupBy(F.col(at).alias("hour")).agg(_n().cast("double").alias("n"), F.avg(level).alias("level"))
+    return hours.agg(_n().alias("n_hours"), F.round(F.corr("n", "level"), 6).alias("correlation"))
+
+
 def demand_variation(trips: DataFrame, zone: str, condition: Column, at: str, top: int) -> DataFrame:
     """Zones by how much their trips per hour differ between conditions; the first ``top`` of them, a report."""
     hours = trips.groupBy(F.col(zone).alias("zone"), condition.alias("condition"), F.col(at).alias("hour")).agg(_n().alias("n"))

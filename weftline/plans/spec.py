@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
-from pathlib import PurePosixPath
 from typing import Any
 
 CAST_TYPES = ("int", "bigint", "double", "string", "boolean", "date", "timestamp")
@@ -113,39 +113,97 @@ class DatasetSpec:
 SESSION_KEYS = {"shuffle_partitions": int, "adaptive": bool, "coalesce": bool, "master": str, "app_name": str}
 
 
+#: The parts that the integration needs, each a dataset's name unless the configuration says otherwise.
+ROLES = {"trips": "taxi_trips", "zones": "taxi_zones", "weather": "weather", "air": "air_quality"}
+LAYERS = ("bronze", "silver", "quarantine")
+
+
+def _need(good: bool, what: str) -> None:
+    if not good:
+        raise ValueError(what)
+
+
+def _text(value: Any) -> bool:
+    return isinstance(value, str) and bool(value.strip())
+
+
+@dataclass(frozen=True)
+class Integration:
+    """Which datasets play which part, and how the integrated table is partitioned."""
+
+    roles: Mapping[str, str]
+    partition_by: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, values: Mapping[str, Any], datasets: Mapping[str, DatasetSpec]) -> Integration:
+        _need(set(values) <= {*ROLES, "partition_by"}, f"integration: unknown keys {sorted(set(values) - {*ROLES, 'partition_by'})}")
+        roles = {r: values.get(r, name) for r, name in ROLES.items()}
+        _need(all(_text(n) and n in datasets for n in roles.values()), f"integration: datasets {sorted(roles.values(), key=str)} are needed")
+        columns = values.get("partition_by", ())
+        _need(isinstance(columns, (list, tuple)) and all(map(_text, columns)) and len(set(columns)) == len(columns), "integration.partition_by must list different names")
+        return cls(roles, tuple(columns))
+
+
+@dataclass(frozen=True)
+class Benchmark:
+    """Where the layouts of the trips are written for comparison, and how often each query is timed."""
+
+    root: str
+    iterations: int = 5
+
+    @classmethod
+    def of(cls, values: Mapping[str, Any]) -> Benchmark:
+        _need(set(values) <= {"root", "iterations"}, f"benchmark: unknown keys {sorted(set(values) - {'root', 'iterations'})}")
+        iterations = values.get("iterations", 5)
+        _need(_text(values.get("root")), "benchmark.root must be a text")
+        _need(type(iterations) is int and iterations >= 1, "benchmark.iterations must be a whole number of at least 1")
+        return cls(values["root"], iterations)
+
+
 @dataclass(frozen=True)
 class Platform:
-    """All of a run: its version, session settings, datasets and the tables' root."""
+    """All of a run: its version, session settings, datasets and the tables' root; integration and benchmark where wanted."""
 
     version: str
     root: str
     datasets: Mapping[str, DatasetSpec]
     session: Mapping[str, Any] = field(default_factory=dict)
-    integrated_partition_by: tuple[str, ...] = ()
-    iterations: int = 5
+    integration: Integration | None = None
+    benchmark: Benchmark | None = None
 
     @classmethod
     def of(cls, values: Mapping[str, Any]) -> Platform:
-        if not isinstance(values, Mapping):
-            raise ValueError("the configuration must be a mapping")
+        _need(isinstance(values, Mapping), "the configuration must be a mapping")
+        unknown = set(values) - {"platform", "session", "datasets", "integration", "benchmark"}
+        _need(not unknown, f"unknown sections: {sorted(unknown)}")
         for what in ("platform", "session", "datasets"):
-            if not isinstance(values.get(what), Mapping):
-                raise ValueError(f"section {what} must be a mapping")
+            _need(isinstance(values.get(what), Mapping), f"section {what} must be a mapping")
+        for what in ("integration", "benchmark"):
+            _need(what not in values or isinstance(values[what], Mapping), f"section {what} must be a mapping")
         version, root = (values["platform"].get(k) for k in ("version", "root"))
-        if not all(isinstance(x, str) and x.strip() for x in (version, root)):
-            raise ValueError("platform needs the texts version and root")
+        _need(_text(version) and _text(root), "platform needs the texts version and root")
         for key, value in values["session"].items():
             kind = SESSION_KEYS.get(key)
-            if kind is None or type(value) is not kind or value == "":
-                raise ValueError(f"session.{key} is unknown or of the wrong type")
-        partitions, iterations = values["session"].get("shuffle_partitions", 1), values.get("iterations", 5)
-        if partitions < 1 or type(iterations) is not int or iterations < 1:
-            raise ValueError("shuffle_partitions and iterations must be whole numbers of at least 1")
+            _need(kind is not None and type(value) is kind and value != "", f"session.{key} is unknown or of the wrong type")
+        _need(values["session"].get("shuffle_partitions", 1) >= 1, "session.shuffle_partitions must be at least 1")
         datasets = {n: DatasetSpec.of(n, d) for n, d in values["datasets"].items()}
-        places = [str(PurePosixPath(root) / layer / n) for n in datasets for layer in ("bronze", "silver", "quarantine")]
-        if not datasets or len(set(places)) != len(places):
-            raise ValueError("datasets must exist and have places of their own")
-        return cls(version, root, datasets, dict(values["session"]), tuple(values.get("integrated_partition_by", ())), iterations)
+        _need(bool(datasets), "datasets must exist")
+        integration = Integration.of(values["integration"], datasets) if "integration" in values else None
+        benchmark = Benchmark.of(values["benchmark"]) if "benchmark" in values else None
+        _need(benchmark is None or integration is not None, "the benchmark needs the integration's parts")
+        made = cls(version, root, datasets, dict(values["session"]), integration, benchmark)
+        made.outputs()
+        return made
+
+    def outputs(self) -> list[str]:
+        """All places that a run writes to; two that are the same, however written, or of which one holds the other, are an error."""
+        places = [f"{self.root}/{layer}/{n}" for n in self.datasets for layer in LAYERS] + [f"{self.root}/metadata/ingestions"]
+        places += [f"{self.root}/silver/integrated"] if self.integration else []
+        places += [self.benchmark.root] if self.benchmark else []
+        plain = sorted(posixpath.normpath(p) for p in places)
+        clash = [b for a in plain for b in plain if a is not b and (a == b or b.startswith(a + "/"))]
+        _need(not clash, f"places that aren't apart: {sorted(set(clash))}")
+        return plain
 
     @classmethod
     def load(cls, path: str) -> Platform:

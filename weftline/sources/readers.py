@@ -7,7 +7,6 @@ from contextlib import contextmanager
 from typing import Any
 from uuid import uuid4
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +52,17 @@ def view(df: DataFrame, prefix: str = "v") -> Iterator[str]:
         df.sparkSession.catalog.dropTempView(name)
 
 
-@contextmanager
-def materialised(df: DataFrame) -> Iterator[DataFrame]:
-    """Kept on the executors' disks for the time of a block."""
-    kept = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        yield kept
-    finally:
-        kept.unpersist()
+#: A table of fewer bytes may be a single row group, hence a single task.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores, for work that costs more than the reading; a large one, of many tasks, as it is.
+
+    The size is the optimiser's own estimate, for files that of the columns read; rows are the same either way.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
 
 
 def inventory(spark: SparkSession, path: str) -> dict[str, int]:
