@@ -67,23 +67,80 @@ def test_one_step_equals_brute_force(case):
     assert counts(step.moves) == moves
 
 
-def test_periods_equal_one_step(spark, case, tmp_path):
+def total_moves(tracker):
+    total = Counter()
+    for r in tracker._all("moves").collect():
+        total[r["month"], r["field_name"], r["move"]] += r["n"]
+    return dict(total)
+
+
+CUTS = [None, "2024-01-21 00:00:00", "2024-02-10 00:00:00", "2024-03-01 12:00:00", None]
+
+
+@pytest.mark.parametrize("spans", [[CUTS], list(zip(CUTS, CUTS[1:])), [CUTS[:3], CUTS[2:]]])
+def test_periods_equal_one_step(spark, case, tmp_path, spans):
     refs, index, (opened, moves) = case
     tracker = OrphanTracker(Store(spark, str(tmp_path)))
     found = []
-    cuts = [None, "2024-01-21 00:00:00", "2024-02-10 00:00:00", "2024-03-01 12:00:00", None]
-    for since, until in zip(cuts, cuts[1:]):
-        found += [(r["row_id"], r["field_name"], r["kind"]) for r in tracker.advance(refs, index, since, until).collect()]
-    assert sorted(found) == opened
-    total = Counter()
-    for r in tracker.store.read_appended("orphans/moves").collect():
-        total[r["month"], r["field_name"], r["move"]] += r["n"]
-    assert dict(total) == moves
-    whole = orphans.snapshots(orphans.advance(None, refs, index).moves).orderBy("field_name", "month").collect()
+    for cuts in spans:
+        found += [(r["row_id"], r["field_name"], r["kind"]) for r in tracker.advance(refs, index, *cuts).collect()]
+    assert sorted(found) == opened and total_moves(tracker) == moves
+    assert sorted((r["row_id"], r["field_name"], r["kind"]) for r in tracker.opened().collect()) == opened
+    step = orphans.advance(None, refs, index)
+    whole = orphans.snapshots(step.moves).orderBy("field_name", "month").collect()
     assert tracker.snapshots().orderBy("field_name", "month").collect() == whole
-    state = orphans.advance(None, refs, index).state.collect()
+    assert sorted(map(tuple, tracker.state().collect())) == sorted(map(tuple, step.state.collect()))
     last = {f: [r["pending"] for r in whole if r["field_name"] == f][-1] for f in FIELDS}
-    assert {f: sum(s["n_pending"] for s in state if s["field_name"] == f) for f in FIELDS} == last
+    assert {f: sum(s["n_pending"] for s in tracker.state().collect() if s["field_name"] == f) for f in FIELDS} == last
+    assert len(tracker.store.batches("orphans/state")) <= 2
+
+
+def frames(spark, rows, parents):
+    refs = orphans.references(spark.createDataFrame(rows, "id long, a int, b int, at timestamp_ntz"), "id", FIELDS, "at")
+    return refs, orphans.parent_index(spark.createDataFrame(parents, "k int, x timestamp_ntz, y timestamp_ntz"), "k", "x", "y")
+
+
+def test_parents_that_are_learnt_of_late(spark, tmp_path):
+    """References of January; their parents come to be known in February, listed on the first of January, or without a date. In
+    March one is gone from the index again."""
+    day = lambda m, d: datetime(2024, m, d)
+    refs, none = frames(spark, [(1, 7, None, day(1, 5)), (2, 8, None, day(1, 6)), (3, 8, None, day(2, 20)), (4, 9, None, day(1, 7))], [])
+    later = frames(spark, [], [(7, T0, None), (8, None, None)])[1]
+    gone = frames(spark, [], [(7, T0, None)])[1]
+    tracker = OrphanTracker(Store(spark, str(tmp_path)))
+    state = lambda: {r["key"]: (r["n_arrived"], r["n_pending"]) for r in tracker.state().collect()}
+    tracker.advance(refs, none, None, "2024-02-01 00:00:00")
+    assert state() == {7: (1, 1), 8: (1, 1), 9: (1, 1)}
+    opened = tracker.advance(refs, later, "2024-02-01 00:00:00", "2024-03-01 00:00:00")
+    assert opened.count() == 0 and state() == {7: (1, 0), 8: (2, 0), 9: (1, 1)}
+    tracker.advance(refs, gone, "2024-03-01 00:00:00", "2024-04-01 00:00:00")
+    assert state() == {7: (1, 0), 8: (2, 2), 9: (1, 1)}
+    assert total_moves(tracker) == {("2024-01", "a", "opened_missing"): 3, ("2024-02", "a", "resolved"): 2, ("2024-03", "a", "reopened"): 2}
+
+
+def test_a_span_applied_again_replaces_itself(spark, case, tmp_path):
+    refs, index, _ = case
+    tracker = OrphanTracker(Store(spark, str(tmp_path)))
+    spans = [(None, CUTS[1]), (CUTS[1], CUTS[2])]
+    for cuts in spans:
+        tracker.advance(refs, index, *cuts)
+    state, moves = sorted(map(tuple, tracker.state().collect())), total_moves(tracker)
+    tracker.advance(refs, index, *spans[1])
+    assert sorted(map(tuple, tracker.state().collect())) == state and total_moves(tracker) == moves
+    for cuts in (spans[0], (CUTS[1], CUTS[3]), (CUTS[3], None), (CUTS[2], CUTS[1]), (CUTS[2],)):
+        with pytest.raises(ValueError):
+            tracker.advance(refs, index, *cuts)
+    assert total_moves(tracker) == moves
+
+
+def test_overlapping_listings_and_repeated_references(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    refs, index = frames(spark, [(1, 1, None, day(5)), (1, 1, None, day(25)), (1, 1, None, day(25)), (2, 1, None, day(40))], [(1, day(0), day(20)), (1, day(10), day(30)), (1, day(12), day(15)), (1, day(30), day(30))])
+    step = orphans.advance(None, refs, index)
+    assert sorted((r["row_id"], r["kind"]) for r in step.opened.collect()) == [(2, "deleted")]
+    assert counts(step.moves) == {("2024-01", "a", "reopened"): 3, ("2024-02", "a", "opened_deleted"): 1}
+    repeated, _ = frames(spark, [(1, 5, None, day(1)), (1, 5, None, day(1))], [])
+    assert orphans.advance(None, repeated, index).opened.count() == 2
 
 
 def test_nulls_and_empty(spark):
