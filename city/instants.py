@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from city import reading_sql as R
 from weftline.operators import instants
 from weftline.sources.tables import table
 
@@ -27,23 +28,11 @@ def p1_normalised(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_normalised": p1_normalised}
 
-_ZONE = r"(Z|GMT|UTC|EST|EDT|[+-]\d{2}:?\d{2}|America/New_York)"
-_OFFSET = "CASE z WHEN 'Z' THEN 0 WHEN 'GMT' THEN 0 WHEN 'UTC' THEN 0 WHEN 'EST' THEN -300 WHEN 'EDT' THEN -240 ELSE try_cast(z[1:3] AS INT) * 60 + try_cast(z[1] || right(z, 2) AS INT) END"
-_STAMPS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%m/%d/%Y %I:%M:%S %p', '%d.%m.%Y %H:%M', '%b %d, %Y %I:%M %p', '%a, %d %b %Y %H:%M:%S', '%Y%m%d%H%M%S']"
-_PLAIN = r"'\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}'"
+_ONE = lambda t, c, zone: f"""SELECT '{t}' AS t, row_id, {c} AS x, coalesce(regexp_full_match({c}, {R.PLAIN}), false) AS plain, {R.instant('', zone)} AS inst, {R.doubtful('', zone)} AS doubt FROM (SELECT row_id, {c}, {R.stamp(c)} FROM {t})"""
+_AIR = f"""SELECT 'air_quality' AS t, row_id, trim(date_gmt) || ' ' || trim(time_gmt) AS x, coalesce(regexp_full_match(date_gmt, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND regexp_full_match(time_gmt, '\\d{{2}}:\\d{{2}}'), false) AS plain,
+  {R.instant('', 'UTC')} AS inst, {R.doubtful('', 'UTC')} AS doubt FROM (SELECT row_id, date_gmt, time_gmt, {R.hour_stamp('date_gmt', 'time_gmt')} FROM air_quality)"""
+_ALL = f"WITH a AS ({_ONE('taxi_trips', 'pickup_datetime', 'NY')} UNION ALL {_ONE('weather', 'observation_datetime', 'UTC')} UNION ALL {_AIR})"
 SQL = {
-    "p1_found": rf"""WITH a AS (SELECT 'taxi_trips' AS t, row_id, 'America/New_York' AS dz, trim(pickup_datetime) AS x, regexp_full_match(pickup_datetime, {_PLAIN}) AS plain FROM taxi_trips
- UNION ALL SELECT 'weather', row_id, 'UTC', trim(observation_datetime), regexp_full_match(observation_datetime, {_PLAIN}) FROM weather),
- b AS (SELECT *, CASE WHEN regexp_full_match(x, '.*\d.*:\d{{2}}(\.\d+)? ?{_ZONE}') THEN regexp_extract(x, '{_ZONE}$', 1) ELSE '' END AS z FROM a),
- c AS (SELECT t, row_id, dz, plain, z, CASE WHEN regexp_full_match(x, '\d{{10}}') THEN make_timestamp(CAST(x AS BIGINT) * 1000000) WHEN regexp_full_match(x, '\d{{13}}') THEN make_timestamp(CAST(x AS BIGINT) * 1000) END AS unix,
-   try_strptime(rtrim(x[1:length(x) - length(z)]), {_STAMPS}) AS w FROM b),
- d AS (SELECT 'air_quality' AS t, row_id, date_gmt, time_gmt, CASE WHEN regexp_full_match(time_gmt, '.*\d ?{_ZONE}') THEN regexp_extract(time_gmt, '{_ZONE}$', 1) ELSE '' END AS z FROM air_quality),
- e AS (SELECT t, row_id, 'UTC' AS dz, regexp_full_match(date_gmt, '\d{{4}}-\d{{2}}-\d{{2}}') AND regexp_full_match(time_gmt, '\d{{2}}:\d{{2}}') AS plain, z, NULL::TIMESTAMP AS unix,
-   try_strptime(trim(date_gmt), ['%Y-%m-%d', '%m/%d/%Y', '%Y%m%d', '%d-%b-%Y', '%d.%m.%Y', '%b %d, %Y', '%Y-%j'])
-   + (try_strptime('2000-01-01 ' || trim(rtrim(time_gmt[1:length(time_gmt) - length(z)])), ['%Y-%m-%d %H:%M', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H%M', '%Y-%m-%d %I:%M %p']) - TIMESTAMP '2000-01-01') AS w FROM d),
- f AS (SELECT *, CASE WHEN z IN ('', 'America/New_York') THEN coalesce(nullif(z, ''), dz) END AS wall FROM (SELECT * FROM c UNION ALL SELECT * FROM e)),
- g AS (SELECT *, CASE WHEN unix IS NULL AND wall = 'America/New_York' THEN timezone('America/New_York', w) END AS ny FROM f),
- h AS (SELECT *, timezone('America/New_York', ny) <> w OR timezone('America/New_York', ny - INTERVAL 1 HOUR) = w OR timezone('America/New_York', ny + INTERVAL 1 HOUR) = w AS doubtful,
-   CASE WHEN unix IS NOT NULL THEN epoch_us(unix) WHEN ny IS NOT NULL THEN epoch_us(ny) WHEN wall = 'UTC' THEN epoch_us(w) ELSE epoch_us(w) - CAST({_OFFSET} AS BIGINT) * 60000000 END AS us FROM g)
- SELECT t AS table_name, row_id, CASE WHEN coalesce(doubtful, false) THEN -1 ELSE us END AS utc_us FROM h WHERE us IS NOT NULL AND (NOT plain OR coalesce(doubtful, false))"""
+    "p1_found": f"{_ALL} SELECT t AS table_name, row_id, CASE WHEN doubt IS NULL THEN epoch_us(inst) ELSE -1 END AS utc_us FROM a WHERE inst IS NOT NULL AND (NOT plain OR doubt IS NOT NULL)",
+    "p1_normalised": f"{_ALL} SELECT t AS table_name, row_id, CASE WHEN doubt IS NULL THEN epoch_us(inst) END AS utc_us, CASE WHEN x IS NULL OR trim(x) = '' THEN 'absent' WHEN inst IS NULL THEN 'unreadable' ELSE coalesce(doubt, 'ok') END AS status FROM a",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import rejects
 from weftline.operators.dense_keys import per_key, regroup
+from weftline.sources.shared import kept
 from weftline.sources.tables import table
 
 # The fields of the two kinds of files.
@@ -88,20 +89,24 @@ def borough_groups(spark: SparkSession, directory: str) -> DataFrame:
     return zones.groupBy(F.col("location_id").alias("key")).agg(F.min(name).alias("group"))
 
 
-def p6_by_key(spark: SparkSession, directory: str) -> DataFrame:
-    """Counts and sums per pickup location and per borough, with the share of all trips."""
-    places = per_key(table(spark, directory, "taxi_trips"), "pickup_location_id", MEASURES)
+def by_key(spark: SparkSession, directory: str, measures: list[str]) -> DataFrame:
+    places = kept(per_key(table(spark, directory, "taxi_trips"), "pickup_location_id", measures))
     boroughs = regroup(places, borough_groups(spark, directory))
     all_rows = places.agg(F.sum("rows")).scalar()
     kinds = {"pickup_location_id": places, "borough": boroughs}
     parts = [d.withColumns({"key_kind": F.lit(k), "key_value": F.col("key").cast("string")}).drop("key") for k, d in kinds.items()]
     both = parts[0].unionByName(parts[1])
-    return both.select("key_kind", "key_value", F.col("rows").alias("n_rows"), (F.col("rows") / all_rows).alias("share"), *(c for m in MEASURES for c in (f"n_{m}", F.round(f"sum_{m}", 2).alias(f"sum_{m}"))))
+    return both.select("key_kind", "key_value", F.col("rows").alias("n_rows"), (F.col("rows") / all_rows).alias("share"), *(c for m in measures for c in (f"n_{m}", F.round(f"sum_{m}", 2).alias(f"sum_{m}"))))
+
+
+def p6_by_key(spark: SparkSession, directory: str) -> DataFrame:
+    """Counts and sums per pickup location and per borough, with the share of all trips."""
+    return by_key(spark, directory, MEASURES)
 
 
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     least = F.when(F.col("key_kind") == "borough", 0.15).otherwise(0.03)
-    return p6_by_key(spark, directory).filter(F.col("key_value").isNotNull() & (F.col("share") >= least)).select("key_kind", "key_value")
+    return by_key(spark, directory, []).filter(F.col("key_value").isNotNull() & (F.col("share") >= least)).select("key_kind", "key_value")
 
 
 QUERIES = {"p5_found": p5_found, "p5_rejects": p5_rejects, "p5_loaded": p5_loaded, "p6_found": p6_found, "p6_by_key": p6_by_key}

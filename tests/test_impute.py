@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators.impute import Field, impute, with_group_mean, with_nested_means
+from weftline.operators.impute import Category, Field, impute, with_group_mean, with_nested_means
 
 
 def fields(**kw):
@@ -77,3 +77,26 @@ def test_nested_means(spark):
     got = {(r["g"], r["h"], r["v"]): (r["gh"], r["gm"], r["hm"]) for r in out.collect()}
     mean = 13 / 3
     assert got == {("a", 1, 1.0): (2.0, mean, 4.0), ("a", 1, 3.0): (2.0, mean, 4.0), ("a", 2, None): (None, mean, None), ("b", 1, 5.0): (5.0, 5.0, 4.0), (None, 1, 7.0): (None, None, 4.0), ("a", None, 9.0): (None, mean, None), (None, None, None): (None, None, None)}
+
+
+def test_categories_by_held_out_cells(spark):
+    rng = random.Random(9)
+    truth, rows = {}, []
+    for i in range(6000):
+        x = rng.uniform(0, 10)
+        c = "low" if x + rng.gauss(0, 0.3) < 3 else "mid" if x < 7 else "high"
+        truth[i] = c
+        rows.append((i, x, rng.choice([None, "?"]) if rng.random() < 0.25 else c, None if rng.random() < 0.2 else 2 * x + rng.gauss(0, 0.1)))
+    df = spark.createDataFrame(rows, "id long, x double, c string, z double")
+    fields = [Category("c", F.col("c"), ("low", "mid", "high")), Field("z", F.col("z"), -100.0, 100.0)]
+    steps = {f"over{k}": F.greatest(F.lit(0.0), F.col("x") - k) for k in (2, 3, 4, 6, 7, 8)}
+    for noise, least in ((0.0, 0.9), (1.0, 0.75)):
+        out = impute(df, "id", fields, {"x": F.col("x"), **steps}, noise=noise).collect()
+        filled = [r for r in out if r["c_filled"]]
+        assert {r["id"] for r in filled} == {r[0] for r in rows if r[2] in (None, "?")} and all(r["c_value"] == r["c"] for r in out if not r["c_filled"])
+        assert sum(r["c_value"] == truth[r["id"]] for r in filled) / len(filled) > least
+    share = lambda v: sum(r["c_value"] == v for r in filled) / len(filled)
+    assert all(abs(share(v) - sum(truth[r["id"]] == v for r in filled) / len(filled)) < 0.06 for v in ("low", "mid", "high"))
+    none = spark.createDataFrame([(1, 1.0, None, None), (1, 1.0, None, None)], "id long, x double, c string, z double")
+    assert {r["c_value"] for r in impute(none, "id", fields, {}, noise=0.0).collect()} == {"low"}
+    assert impute(none.limit(0), "id", fields, {}).count() == 0

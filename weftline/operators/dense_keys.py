@@ -1,7 +1,7 @@
 """Per-key results over dense accumulator arrays, worked evenly however few keys hold most records (problem 6).
 
 The keys are encoded by a dictionary; every input split adds its rows into arrays with one place per key, by bincount;
-the splits' arrays are cut into blocks and summed. No row is ever sent to "its" key, so a hot key makes no task longer:
+the splits' arrays are cut into blocks, and each block's arrays are added as a whole. No row is ever sent to "its" key, so a hot key makes no task longer:
 the work follows the splits, which are of equal size.
 """
 
@@ -12,12 +12,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Largest dictionary that is sent to all executors; with more keys each split makes its own.
 MAX_KEYS = 1_000_000
 BLOCK = 4_096
+#: Splits of one block are first added up in so many parts.
+PARTS = 64
 
 
 def dictionary(df: DataFrame, key: str, most: int = MAX_KEYS) -> list | None:
@@ -36,7 +39,7 @@ def _dense(keys: list, key: str, measures: Sequence[str]):
     """Adds a split's rows into arrays; the last place is that of null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, known = len(keys) + 1, None
+        size, known, split = len(keys) + 1, None, TaskContext.get().partitionId()
         rows = np.zeros(size, np.int64)
         counts, sums = {m: np.zeros(size, np.int64) for m in measures}, {m: np.zeros(size) for m in measures}
         for batch in batches:
@@ -52,7 +55,23 @@ def _dense(keys: list, key: str, measures: Sequence[str]):
             part = slice(start, start + BLOCK)
             if rows[part].any():
                 arrays = {"rows": rows[part]} | {f"n_{m}": counts[m][part] for m in measures} | {f"sum_{m}": sums[m][part] for m in measures}
-                yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int64())} | {k: pa.array([a]) for k, a in arrays.items()})
+                yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int64()), "part": pa.array([split % PARTS], pa.int32())} | {k: pa.array([a]) for k, a in arrays.items()})
+
+    return run
+
+
+def _added(names: Sequence[str]):
+    """The sum of one block's arrays, batch by batch: as much memory as one block, however many splits there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        start = part = None
+        for batch in batches:
+            start, part, n = batch["start"][:1], batch["part"][:1], batch.num_rows
+            for k in names:
+                rows = batch[k].flatten().to_numpy().reshape(n, -1).sum(axis=0)
+                totals[k] = totals[k] + rows if k in totals else rows
+        yield pa.RecordBatch.from_pydict({"start": start, "part": part} | {k: pa.array([totals[k]]) for k in names})
 
     return run
 
@@ -91,11 +110,14 @@ def per_key(df: DataFrame, key: str, measures: Sequence[str] = (), most: int = M
         schema = f"key {kind}, " + ", ".join(f"`{n}` {'double' if n.startswith('sum_') else 'bigint'}" for n in names)
         summed = slim.mapInArrow(_local(key, measures), schema).groupBy("key").agg(*total)
     else:
-        schema = "start bigint, " + ", ".join(f"`{n}` array<{'double' if n.startswith('sum_') else 'bigint'}>" for n in names)
+        schema = "start bigint, part int, " + ", ".join(f"`{n}` array<{'double' if n.startswith('sum_') else 'bigint'}>" for n in names)
         blocks = slim.mapInArrow(_dense(keys, key, measures), schema)
+        # In two rounds, so that a block of very many splits is never one task's alone; each round adds whole arrays.
+        for by in (["start", "part"], ["start"]):
+            blocks = blocks.groupBy(*by).applyInArrow(_added(names), schema)
         places = blocks.select("start", F.posexplode(F.arrays_zip(*names)).alias("at", "x")).filter("x.rows > 0").select((F.col("start") + F.col("at")).alias("code"), "x.*")
         codes = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate([*keys, None])], f"code bigint, key {kind}")
-        summed = places.groupBy("code").agg(*total).join(codes, "code").drop("code")
+        summed = places.join(codes, "code").drop("code")
     return summed.select("key", "rows", *(c for m in measures for c in (F.col(f"n_{m}"), F.when(F.col(f"n_{m}") > 0, F.col(f"sum_{m}")).alias(f"sum_{m}"))))
 
 

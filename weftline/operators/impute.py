@@ -38,6 +38,24 @@ class Field:
         return F.when(v.isNotNull() & ~F.isnan(v) & (v >= self.low) & (v <= self.high) & (F.abs(v) < float("inf")), v)
 
 
+@dataclass(frozen=True)
+class Category:
+    """An incomplete field of a few values, as texts in ``values``; any other value, null too, counts as missing.
+
+    Within the chain it is one indicator per value, regressed like the rest; a missing cell gets a value by the predicted
+    shares of its values.
+    """
+
+    name: str
+    value: Column
+    values: tuple[str, ...]
+    helper: bool = False
+
+    def indicators(self) -> list[Column]:
+        v = self.value.cast("string")
+        return [F.when(v.isin(*self.values), F.when(v == x, 1.0).otherwise(0.0)) for x in self.values]
+
+
 @dataclass(frozen=True)
 class Model:
     """Per pattern of missing fields: weights of the constant, predictors and fields for each missing field, and its spread."""
@@ -60,13 +78,18 @@ def _sums(df: DataFrame, names: list[str], pattern: str) -> dict[int, np.ndarray
     return found
 
 
-def fit(grams: dict[int, np.ndarray], n_fields: int, rounds: int) -> Model:
-    """Runs the rounds on the sums of products; the fields are the last n_fields variables, missing ones being 0 in the sums."""
+def fit(grams: dict[int, np.ndarray], bits: Sequence[int], rounds: int) -> Model:
+    """Runs the rounds on the sums of products; the fields are the last len(bits) variables, missing ones being 0 in the sums.
+
+    bits: of each field the bit of the patterns that tells it is missing. Fields of one bit, the indicators of a category, are
+    not regressed on each other.
+    """
     if not grams:
         return Model({}, 0)
     size = next(iter(grams.values())).shape[0]
-    fields = range(size - n_fields, size)
-    lacks = lambda p, j: bool(p >> (j - fields[0]) & 1)
+    fields = range(size - len(bits), size)
+    bit = lambda j: bits[j - fields[0]] if j in fields else -1
+    lacks = lambda p, j: bool(p >> bit(j) & 1)
     # L completes a row (identity on what it has), C is the spread of what it lacks.
     complete = {p: np.diag([0.0 if j in fields and lacks(p, j) else 1.0 for j in range(size)]) for p in grams}
     spread = {p: np.zeros((size, size)) for p in grams}
@@ -80,7 +103,7 @@ def fit(grams: dict[int, np.ndarray], n_fields: int, rounds: int) -> Model:
                 spread[p][j, j] = max(0.0, sum(g[j, j] for g in have) / n - mean**2) if n else 0.0
     for _ in range(rounds):
         for j in fields:
-            others = [k for k in range(size) if k != j]
+            others = [k for k in range(size) if bit(k) != bit(j)]
             full = np.zeros((size, size))
             for p, g in grams.items():
                 if not lacks(p, j):
@@ -101,51 +124,75 @@ def fit(grams: dict[int, np.ndarray], n_fields: int, rounds: int) -> Model:
     return Model({p: (complete[p], np.sqrt(np.maximum(np.diag(spread[p]), 0.0))) for p in grams}, rounds)
 
 
+def _unit(key: Column, salt: str) -> Column:
+    """A draw between 0 and 1 that depends on the key alone."""
+    return (F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(2**52)) + 0.5) / 2**52
+
+
 def _normal(key: Column, salt: str) -> Column:
     """A standard normal draw that depends on the key alone, so that a repeated task draws the same."""
-    unit = lambda s: (F.pmod(F.xxhash64(key, F.lit(s)), F.lit(2**52)) + 0.5) / 2**52
-    return F.sqrt(-2 * F.log(unit(salt + "a"))) * F.cos(unit(salt + "b") * (2 * np.pi))
+    return F.sqrt(-2 * F.log(_unit(key, salt + "a"))) * F.cos(_unit(key, salt + "b") * (2 * np.pi))
 
 
-def impute(df: DataFrame, key: str, fields: Sequence[Field], predictors: dict[str, Column], rounds: int = 10, noise: float = 1.0) -> DataFrame:
+def impute(df: DataFrame, key: str, fields: Sequence[Field | Category], predictors: dict[str, Column], rounds: int = 10, noise: float = 1.0) -> DataFrame:
     """Adds ``<field>_value`` and ``<field>_filled`` for each field that is no helper; all rows and columns stay.
 
     A usable cell keeps its value, ``filled`` being false. Any other (null, NaN, infinite, out of range) gets the value
     that the other fields and the predictors give, plus ``noise`` times a draw of the residual spread, kept in range, and
     rounded where the field is whole. Predictors that are null, NaN or infinite count as 0. A field that no row has is
-    filled with 0, or the end of its range next to it. An empty table gives an empty one. Columns that already have one of the
+    filled with 0, or the end of its range next to it. A category's cell gets one of its values, drawn by their predicted
+    shares, or with ``noise`` 0 the likeliest; where no row has any, the first. An empty table gives an empty one. Columns that already have one of the
     added names are replaced; ``_z<n>``, ``_v<n>`` and ``_pattern`` are left out.
     """
     if len(fields) > MAX_FIELDS:
         raise ValueError(f"at most {MAX_FIELDS} incomplete fields")
-    zs, vs = [f"_z{i}" for i in range(len(predictors))], [f"_v{i}" for i in range(len(fields))]
+    # A field has one variable, a category one per value; the variables of one have the same bit.
+    variables = [(i, c) for i, f in enumerate(fields) for c in (f.indicators() if isinstance(f, Category) else [f.usable()])]
+    bits = [i for i, _ in variables]
+    zs, vs = [f"_z{i}" for i in range(len(predictors))], [f"_v{i}" for i in range(len(variables))]
     made = {*zs, *vs, "_pattern"} | {f"{f.name}_{end}" for f in fields if not f.helper for end in ("value", "filled")}
     used = [c for c in df.columns if c not in made]
     finite = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c).otherwise(0.0)
     ready = df.select(
         *(F.col(f"`{c}`") for c in used),
         *(finite(c.cast("double")).alias(z) for z, c in zip(zs, predictors.values())),
-        *(f.usable().alias(v) for v, f in zip(vs, fields)),
+        *(c.alias(v) for v, (_, c) in zip(vs, variables)),
     )
-    pattern = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(v).isNull(), 1 << i).otherwise(0) for i, v in enumerate(vs)))
+    lead = [bits.index(i) for i in range(len(fields))]
+    pattern = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(vs[k]).isNull(), 1 << i).otherwise(0) for i, k in enumerate(lead)))
     ready = ready.withColumn("_pattern", pattern)
     zero = ready.select("_pattern", *zs, *(F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in vs))
-    model = fit(_sums(zero, zs + vs, "_pattern"), len(fields), rounds)
+    model = fit(_sums(zero, zs + vs, "_pattern"), bits, rounds)
     x = [F.lit(1.0), *(F.col(z) for z in zs), *(F.coalesce(F.col(v), F.lit(0.0)) for v in vs)]
+
+    def guess(field: int, k: int, draw: Column | None) -> Column:
+        """What the model gives for variable k of a field in the rows that lack it, plus a draw of its spread."""
+        j, out = 1 + len(zs) + k, F.lit(None).cast("double")
+        for p, (complete, spread) in model.patterns.items():
+            if p >> field & 1:
+                value = reduce(lambda a, b: a + b, [x[n] * float(complete[j, n]) for n in range(len(x)) if complete[j, n]], F.lit(0.0))
+                out = F.when(F.col("_pattern") == p, value if draw is None else value + draw * float(noise * spread[j])).otherwise(out)
+        return out
+
     added = []
     for i, field in enumerate(fields):
         if field.helper:
             continue
-        j = 1 + len(zs) + i
-        guess = F.lit(None).cast("double")
-        for p, (complete, spread) in model.patterns.items():
-            if p >> i & 1:
-                terms = [x[k] * float(complete[j, k]) for k in range(len(x)) if complete[j, k]]
-                value = reduce(lambda a, b: a + b, terms, F.lit(0.0)) + _normal(F.col(key), field.name) * float(noise * spread[j])
-                guess = F.when(F.col("_pattern") == p, value).otherwise(guess)
-        guess = F.greatest(F.lit(field.low), F.least(F.lit(field.high), guess))
-        own = F.col(vs[i])
-        added += [F.coalesce(own, F.round(guess) if field.whole else guess).alias(f"{field.name}_value"), own.isNull().alias(f"{field.name}_filled")]
+        own = F.col(vs[lead[i]])
+        if isinstance(field, Category):
+            shares = [F.greatest(F.lit(1e-9), guess(i, lead[i] + n, None)) for n in range(len(field.values))]
+            table = F.array(*(F.struct(s.alias("share"), F.lit(v).alias("value")) for s, v in zip(shares, field.values)))
+            if noise:
+                ends = F.transform(table, lambda e, n: F.struct(F.aggregate(F.slice(table, 1, n + 1), F.lit(0.0), lambda a, e: a + e["share"]).alias("end"), e["value"].alias("value")))
+                place = _unit(F.col(key), field.name) * F.aggregate(table, F.lit(0.0), lambda a, e: a + e["share"])
+                drawn = F.coalesce(F.get(F.filter(ends, lambda e: e["end"] > place), 0)["value"], F.lit(field.values[-1]))
+            else:
+                best = F.array_max(F.transform(table, lambda e: e["share"]))
+                drawn = F.get(F.filter(table, lambda e: e["share"] == best), 0)["value"]
+            added += [F.when(own.isNull(), drawn).otherwise(field.value.cast("string")).alias(f"{field.name}_value"), own.isNull().alias(f"{field.name}_filled")]
+            continue
+        value = F.greatest(F.lit(field.low), F.least(F.lit(field.high), guess(i, lead[i], _normal(F.col(key), field.name))))
+        added += [F.coalesce(own, F.round(value) if field.whole else value).alias(f"{field.name}_value"), own.isNull().alias(f"{field.name}_filled")]
     return ready.select("*", *added).drop(*zs, *vs, "_pattern")
 
 
