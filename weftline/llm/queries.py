@@ -20,8 +20,8 @@ def p7_decoded(spark: SparkSession, directory: str) -> DataFrame:
     return decode_corpus(p7_ids(spark, directory))
 
 
-def _mix(spark: SparkSession, directory: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    return mix_sources(table(spark, directory, "documents"), table(spark, directory, "mix_targets"), whole=whole)
+def _mix(spark: SparkSession, directory: str, **how: bool) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, directory, "documents"), table(spark, directory, "mix_targets"), **how)
 
 
 def p8_mix(spark: SparkSession, directory: str) -> DataFrame:
@@ -36,12 +36,22 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 def p8_whole_mix(spark: SparkSession, directory: str) -> DataFrame:
     """A mix of as many tokens as the sources with a target have, its shares as near the targets as repeats allow."""
-    return _mix(spark, directory, True)[0]
+    return _mix(spark, directory, whole=True)[0]
 
 
 def p8_whole_shares(spark: SparkSession, directory: str) -> DataFrame:
     """The shares of p8_whole_mix, and which targets it misses."""
-    return shares(*_mix(spark, directory, True))
+    return shares(*_mix(spark, directory, whole=True))
+
+
+def p8_entropy_mix(spark: SparkSession, directory: str) -> DataFrame:
+    """A mix of the same size whose shares are the corpus' own, flattened or sharpened to the entropy of the targets."""
+    return _mix(spark, directory, by_entropy=True)[0]
+
+
+def p8_entropy_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The shares of p8_entropy_mix."""
+    return shares(*_mix(spark, directory, by_entropy=True))
 
 
 def p9_pieces(spark: SparkSession, directory: str) -> DataFrame:
@@ -54,5 +64,5 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return p9_pieces(spark, directory).filter(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_whole_mix": p8_whole_mix, "p8_whole_shares": p8_whole_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_whole_mix": p8_whole_mix, "p8_whole_shares": p8_whole_shares, "p8_entropy_mix": p8_entropy_mix, "p8_entropy_shares": p8_entropy_shares, "p9_found": p9_found, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
