@@ -40,7 +40,6 @@ def test_odd_texts_and_decoding(spark, tokenizer):
 
 def test_random_texts_over_small_blocks(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(E, "BLOCK_CHARS", 300)
-    monkeypatch.setattr(E, "KEPT_WORDS", 5)
     rng = random.Random(4)
     alphabet = list("ab  \n\t.,'s1é中🙂 ")
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(600)]
@@ -72,8 +71,35 @@ def test_two_shuffles(spark, small):
 def test_packed_numbers():
     rng = random.Random(1)
     for _ in range(200):
-        rows = [sorted(rng.sample(range(rng.choice([5, 300, 2**31])), rng.randrange(0, 5))) for _ in range(rng.randrange(0, 6))]
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        rows = [sorted(rng.sample(range(rng.choice([5, 300, 2**31])), rng.randrange(1, 5))) for _ in range(rng.randrange(0, 6))]
+        counts = np.array([len(r) for r in rows], np.int64)
+        starts = np.concatenate([[0], np.cumsum(counts)])[:-1].astype(np.int64)
         flat = np.array([x for r in rows for x in r], np.int64)
-        got, at = E.unpacked(E.packed(flat, bounds))
-        assert got.tolist() == flat.tolist() and at.tolist() == bounds.tolist()
+        data, ends = E.packed(flat, starts)
+        assert E.unpacked(data, counts).tolist() == flat.tolist() and ends[-1] == len(data)
+
+
+def test_each_distinct_word_is_encoded_once(spark, tmp_path):
+    """However many blocks it is in: counted in the workers, by a line a call."""
+    seen = str(tmp_path / "calls")
+    inner = E.encoding
+
+    def counted(folder, vocabulary):
+        class Core:
+            def encode_single_piece(self, word):
+                with open(seen, "ab") as out:
+                    out.write(word.hex().encode() + b"\n")
+                return inner(folder, vocabulary)._core_bpe.encode_single_piece(word)
+
+        return type("Encoding", (), {"_core_bpe": Core()})
+
+    texts = ["the same words " * 50 + f"and {i % 7}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    before = E.encoding, E.BLOCK_CHARS
+    E.encoding, E.BLOCK_CHARS = counted, 2000
+    try:
+        n = sum(len(r["ids"]) for r in E.encode_corpus(df).collect())
+    finally:
+        E.encoding, E.BLOCK_CHARS = before
+    calls = open(seen).read().split()
+    assert n > 60_000 and len(calls) == len(set(calls)) == 5 + 7  # the, " the", " same", " words", " and", and seven numbers

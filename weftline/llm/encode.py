@@ -1,14 +1,16 @@
 """Encoding of a whole corpus: each distinct word is encoded once (problem 7).
 
 Texts are cut into words by the tokenizer's pattern, in blocks of documents. A block sends each of its distinct words once,
-with all its positions packed, to the partition of that word; there every word is encoded once, and its ids go back with
-the positions to the block, which puts them in order. A word has at most one row a block, so no word is hot, and a block is
-bounded in characters (one document beyond that is a block by itself).
+with all its positions, to the partition of that word's bucket; there every word is encoded once, and its ids go back to the
+block, which puts them in order. All words of a block and bucket travel as one row of packed bytes, so the shuffles move few
+rows whatever the number of words; a word has at most one place a block, so no word is hot, and a block is bounded in
+characters (one document beyond that is a block by itself).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +22,17 @@ from pyspark.sql import functions as F
 from weftline.llm.tokens import PATTERN, TOKENIZERS, VOCABULARY, encoding, token_bytes
 
 #: Characters of a block, but for its last document.
-BLOCK_CHARS = 1_000_000
-#: Words that a partition keeps encoded; beyond these it begins anew.
-KEPT_WORDS = 500_000
+BLOCK_CHARS = 2_000_000
+#: Buckets of words for each partition of the shuffle. A partition takes its buckets one after the other and forgets the words
+#: of the last, so it holds a part of its distinct words at a time, each encoded once.
+BUCKETS = 4
 
 
-def packed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
-    """One binary per row of ascending numbers, ``rows`` being the rows' bounds: differences in as few bytes of 7 bits as do."""
+def packed(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, ascending from each of ``starts`` to the next, as differences in as few bytes of 7 bits as do; and the bounds of
+    each number's bytes."""
     steps = values.astype(np.int64)
     steps[1:] -= values[:-1]
-    starts = rows[:-1][rows[:-1] < rows[1:]]
     steps[starts] = values[starts]
     size = 1 + sum((steps >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -37,77 +40,109 @@ def packed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
     for k in range(5):
         more = size > k
         out[ends[:-1][more] + k] = (steps[more] >> 7 * k & 127) | np.where(size[more] > k + 1, 128, 0)
-    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(ends[rows].astype(np.int32)), pa.py_buffer(out)])
+    return out, ends
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls, and the rows' bounds in them."""
-    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = column.buffers()[2]
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
+def unpacked(data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of packed(); counts: how many there are from each start to the next."""
+    ends = np.flatnonzero(data < 128)
+    if not len(ends):
+        return np.empty(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    within = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    total = np.concatenate([[0], np.cumsum(np.add.reduceat((data & 127).astype(np.int64) << 7 * within, starts))])
+    firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    return total[1:] - np.repeat(total[firsts], counts)
 
 
-def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of packed(), and the rows' bounds."""
-    data, bounds = _bytes(column)
-    last = data < 128
-    ends = np.flatnonzero(last)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    within = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    steps = np.add.reduceat((data & 127).astype(np.int64) << 7 * within, starts) if len(ends) else np.empty(0, np.int64)
-    rows = np.concatenate([[0], np.cumsum(last)])[bounds]
-    total = np.concatenate([[0], np.cumsum(steps)])
-    return total[1:] - np.repeat(total[rows[:-1]], np.diff(rows)), rows
+def _blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Stretches of an array of any numbers as binaries; bounds count numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
 
+def _numbers(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of binaries without nulls, and the rows' bounds in them."""
+    rows = [np.frombuffer(b, kind) for b in column.to_pylist()]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    return np.concatenate([np.empty(0, kind), *rows]), bounds
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block: one with the documents' ids and numbers of words, then one per distinct word with its positions."""
-    import regex
 
-    split = regex.compile(PATTERN).findall
-    part, number = TaskContext.get().partitionId(), 0
+#: block; bucket; bytes of its words one after the other, their lengths, how often each occurs, where; and in one row of the block
+#: its documents' ids and numbers of words.
+_SENT = "block bigint, bucket int, words binary, lengths binary, counts binary, positions binary, docs array<bigint>, n_words array<int>"
+_BACK = "block bigint, ids binary, sizes binary, counts binary, positions binary, docs array<bigint>, n_words array<int>"
 
-    def closed(docs: list, counts: list[int], words: list[str]) -> pa.RecordBatch:
+
+def _cutter(buckets: int):
+    def closed(block: int, docs: list, counts: list[int], words: list[str]) -> pa.RecordBatch:
         coded = pa.array(words, pa.string()).dictionary_encode()
         codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")
-        bounds = np.concatenate([[0, 0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
-        n = len(bounds) - 1
-        lists = lambda values, kind: pa.array([values, *[None] * (n - 1)], pa.list_(kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part * 2**31 + number)), pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary]), packed(order, bounds), lists(docs, pa.int64()), lists(counts, pa.int32())],
-            names=["block", "word", "positions", "docs", "counts"],
-        )
-
-    docs, counts, words, chars = [], [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-            found = split(text) if text else []
-            docs.append(doc)
-            counts.append(len(found))
-            words += found
-            chars += len(text or "")
-            if chars >= BLOCK_CHARS or len(docs) >= 100_000:
-                yield closed(docs, counts, words)
-                docs, counts, words, chars, number = [], [], [], 0, number + 1
-    if docs:
-        yield closed(docs, counts, words)
+        own = [w.encode() for w in coded.dictionary.to_pylist()]
+        bucket = np.array([crc32(w) % buckets for w in own], np.int32)
+        order = np.argsort(bucket, kind="stable")  # the words by bucket
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own))
+        places = np.argsort(rank[codes], kind="stable") if len(codes) else np.empty(0, np.int64)
+        often = np.bincount(rank[codes], minlength=len(own)) if len(codes) else np.empty(0, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(often)]).astype(np.int64)
+        found, firsts = np.unique(bucket[order], return_index=True)
+        rows = np.append(firsts, len(own))  # words by row
+        data, ends = packed(places, bounds[:-1])
+        lengths = np.array([len(own[i]) for i in order], np.int32)
+        letters = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        text = np.frombuffer(b"".join(own[i] for i in order), np.uint8)
+        n = len(found)
+        # The documents' own row has no words; it goes anywhere.
+        columns = [
+            pa.array(np.full(n + 1, block)), pa.array([block % buckets, *found.tolist()], pa.int32()),
+            *(pa.concat_arrays([pa.array([b""]), c]) for c in (_blobs(text, letters[rows]), _blobs(lengths, rows), _blobs(often.astype(np.int32), rows), _blobs(data, ends[bounds[rows]]))),
+            pa.array([docs, *[None] * n], pa.list_(pa.int64())), pa.array([counts, *[None] * n], pa.list_(pa.int32())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "words", "lengths", "counts", "positions", "docs", "n_words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of documents, cut into words."""
+        import regex
+
+        split = regex.compile(PATTERN).findall
+        part, number = TaskContext.get().partitionId(), 0
+        docs, counts, words, chars = [], [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                found = split(text) if text else []
+                docs.append(doc)
+                counts.append(len(found))
+                words += found
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS or len(docs) >= 100_000:
+                    yield closed(part * 2**31 + number, docs, counts, words)
+                    docs, counts, words, chars, number = [], [], [], 0, number + 1
+        if docs:
+            yield closed(part * 2**31 + number, docs, counts, words)
+
+    return run
 
 
 def _encoder(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, kept = encoding(folder, vocabulary)._core_bpe.encode_single_piece, {None: b""}
+        """Rows in the order of buckets; each distinct word of a bucket is encoded once."""
+        piece, kept, at = encoding(folder, vocabulary)._core_bpe.encode_single_piece, {}, None
         for batch in batches:
-            ids = []
-            for word in batch["word"].to_pylist():
-                got = kept.get(word)
-                if got is None:
-                    if len(kept) > KEPT_WORDS:
-                        kept = {None: b""}
-                    got = kept[word] = np.array(piece(word.encode()), np.int32).tobytes()
-                ids.append(got)
-            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(ids, pa.binary()), *(batch[c] for c in ("positions", "docs", "counts"))], names=["block", "ids", "positions", "docs", "counts"])
+            ids, sizes = [], []
+            for bucket, text, lengths in zip(batch["bucket"].to_pylist(), batch["words"].to_pylist(), batch["lengths"].to_pylist()):
+                if bucket != at:
+                    kept, at = {}, bucket
+                got, start = [], 0
+                for n in np.frombuffer(lengths, np.int32).tolist():
+                    word = text[start : start + n]
+                    start += n
+                    one = kept.get(word)
+                    if one is None:
+                        one = kept[word] = np.array(piece(word), np.int32).tobytes()
+                    got.append(one)
+                ids.append(b"".join(got))
+                sizes.append(np.array([len(g) // 4 for g in got], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(ids, pa.binary()), pa.array(sizes, pa.binary()), *(batch[c] for c in ("counts", "positions", "docs", "n_words"))], names=["block", "ids", "sizes", "counts", "positions", "docs", "n_words"])
 
     return run
 
@@ -115,16 +150,19 @@ def _encoder(folder: str, vocabulary: str):
 def _reassembled(block: pa.Table) -> pa.Table:
     """The documents of one block: at every position stand the ids of its word."""
     head = pc.indices_nonzero(pc.is_valid(block["docs"]))[0].as_py()
-    docs, counts = (block[c].combine_chunks()[head].values for c in ("docs", "counts"))
-    data, bounds = _bytes(block["ids"].combine_chunks())
-    flat, starts, sizes = data.view(np.int32), bounds[:-1] // 4, np.diff(bounds) // 4
-    positions, rows = unpacked(block["positions"].combine_chunks())
-    row_at = np.empty(len(positions), np.int64)
-    row_at[positions] = np.repeat(np.arange(len(sizes)), np.diff(rows))
-    size_at = sizes[row_at]
+    docs, n_words = (block[c].combine_chunks()[head].values for c in ("docs", "n_words"))
+    flat, _ = _numbers(block["ids"], np.int32)
+    sizes, _ = _numbers(block["sizes"], np.int32)
+    counts, _ = _numbers(block["counts"], np.int32)
+    data, _ = _numbers(block["positions"], np.uint8)
+    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+    positions = unpacked(data, counts)
+    word_at = np.empty(len(positions), np.int64)
+    word_at[positions] = np.repeat(np.arange(len(counts)), counts)
+    size_at = sizes[word_at].astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(size_at)])
-    taken = np.repeat(starts[row_at] - ends[:-1], size_at) + np.arange(ends[-1])
-    of_docs = ends[np.concatenate([[0], np.cumsum(counts.to_numpy())])].astype(np.int32)
+    taken = np.repeat(starts[word_at] - ends[:-1], size_at) + np.arange(ends[-1])
+    of_docs = ends[np.concatenate([[0], np.cumsum(n_words.to_numpy())])].astype(np.int32)
     return pa.table({"doc_id": docs, "ids": pa.ListArray.from_arrays(pa.array(of_docs), pa.array(flat[taken.astype(np.int64)]))})
 
 
@@ -132,14 +170,14 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     """doc_id bigint, ids array<int>: the whole text's ids without special tokens; one row per row of the input.
 
     Null and empty texts get an empty array. Strings of special tokens are ordinary text. Repeated rows and ids are encoded
-    each by itself, null ids stay null, other columns are left out, an empty table gives an empty one.
+    each by itself, null ids stay null, other columns are left out, an empty table gives an empty one. Words are spread over
+    BUCKETS times as many buckets as spark.sql.shuffle.partitions says.
     """
     slim = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    lists = "positions binary, docs array<bigint>, counts array<int>"
-    blocks = slim.mapInArrow(_blocks, f"block bigint, word string, {lists}")
-    # The documents' own rows go anywhere, so they don't crowd on the null word.
-    routed = blocks.repartition(F.when(F.col("word").isNotNull(), F.xxhash64("word")).otherwise(F.xxhash64("block")))
-    encoded = routed.mapInArrow(_encoder(folder, vocabulary), f"block bigint, ids binary, {lists}")
+    buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = slim.mapInArrow(_cutter(buckets), _SENT)
+    routed = blocks.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    encoded = routed.mapInArrow(_encoder(folder, vocabulary), _BACK)
     return encoded.groupBy("block").applyInArrow(_reassembled, "doc_id bigint, ids array<int>")
 
 
