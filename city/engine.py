@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from city import specs
 from weftline.functions import columns as C
 from weftline.operators import enrich, quality, standardize
 from weftline.plans import ingest, integrate, layouts, products
+from weftline.sources.shared import together
 from weftline.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -216,8 +219,11 @@ def q20_city_means(spark, d):
     return df.select(ntz("air_hour").alias("air_hour"), F.round(F.col("level") + 1e-9, 4).alias("level"))
 
 
-def _context(spark, d) -> integrate.Context:
-    return integrate.context(clean(spark, d, "taxi_zones"), clean(spark, d, "weather"), clean(spark, d, "air_quality"), digits=12)
+def _trips_and_context(spark, d) -> tuple[DataFrame, integrate.Context]:
+    def known():
+        return integrate.context(*together(*(partial(clean, spark, d, n) for n in ("taxi_zones", "weather", "air_quality"))), digits=12)
+
+    return tuple(together(partial(clean, spark, d, "taxi_trips"), known))
 
 
 def _end(e: str, at: str) -> str:
@@ -233,7 +239,8 @@ _WITH = f"WITH {TRIPS}, {ZONES}, {AIR}, {WEATHER}"
 
 def _enriched(spark, d) -> DataFrame:
     """Clean trips with the place, weather and air of their pickup."""
-    return integrate.with_context(clean(spark, d, "taxi_trips"), "pickup", F.col("pickup_datetime"), _context(spark, d), True)
+    trips, known = _trips_and_context(spark, d)
+    return integrate.with_context(trips, "pickup", F.col("pickup_datetime"), known, True)
 
 
 @query(f"""{_WITH}, {_JOINED} SELECT pickup_borough, CASE WHEN lb IS NOT NULL THEN 'borough' WHEN lc IS NOT NULL THEN 'citywide' ELSE 'missing' END AS source, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY ALL""")
@@ -259,7 +266,8 @@ def q24_coverage(spark, d):
 
 def _layout_query(name: str, rounded: tuple[str, ...] = ()):
     def run(spark, d):
-        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": clean(spark, d, "taxi_trips"), "zones": clean(spark, d, "taxi_zones")})
+        trips, zones = together(partial(clean, spark, d, "taxi_trips"), partial(clean, spark, d, "taxi_zones"))
+        df = layouts.run_sql(spark, layouts.QUERIES[name], {"trips": trips, "zones": zones})
         return df.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in rounded})
 
     return run
@@ -370,7 +378,7 @@ def _columns(e: str, more: bool) -> str:
 @query(f"""{_WITH} SELECT t.row_id, {_columns('pickup', True)}, {_columns('dropoff', False)} FROM trips t {_end('pickup', 'pu')} {_end('dropoff', 'qu')}""")
 def q41_integrated(spark, d):
     """Trips with the context of both ends; of the trips' own columns the id alone."""
-    df = integrate.integrated(clean(spark, d, "taxi_trips"), _context(spark, d))
+    df = integrate.integrated(*_trips_and_context(spark, d))
     added = [c for c in df.columns if c.startswith(("pickup_", "dropoff_")) and c not in specs.trips("x").required and c not in R_CALENDAR]
     codes = {f"{e}_weather_code" for e in ("pickup", "dropoff")}
     return df.select("row_id", *(F.round(F.col(c) + 1e-9, 4).alias(c) if t == "double" or c in codes else F.col(c) for c, t in df.dtypes if c in added))

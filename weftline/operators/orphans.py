@@ -108,16 +108,21 @@ def opened(arrived: DataFrame) -> DataFrame:
     return some.select("row_id", "field_name", "key", "at", "kind", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_copy")).drop("_copy")
 
 
+def counted(arrived: DataFrame) -> DataFrame:
+    """What settle() needs of the arrivals: their numbers alone."""
+    return arrived.groupBy("period", "field_name", "key", "segment", "month", "kind").agg(F.sum("n").alias("n"))
+
+
 def settle(state: DataFrame | None, arrived: DataFrame, index: DataFrame, since: str | None, until: str | None) -> DataFrame:
-    """One period applied to the state: rows of the state after it (field_name, key, n_arrived, n_pending) and of what moved
+    """One period, its arrivals or their numbers, applied to the state: rows of the state after it (field_name, key, n_arrived, n_pending) and of what moved
     (month, field_name, move, n), the columns of the others being null.
 
     Moves are ``opened_missing``, ``opened_deleted``, ``opened_later``, ``resolved`` and ``reopened``. A parent that was in effect
     at the end of the last period and isn't at the beginning of this one, or the other way round, was learnt of late: it moves
     what has arrived so far in the month in which this period begins.
     """
-    counted = arrived.filter(F.col("month").isNotNull())
-    parts = counted.groupBy("field_name", "key", "segment").agg(F.sum("n").alias("n")).groupBy("field_name", "key").agg(F.collect_list(F.struct("segment", "n")).alias("parts"))
+    dated = arrived.filter(F.col("month").isNotNull())
+    parts = dated.groupBy("field_name", "key", "segment").agg(F.sum("n").alias("n")).groupBy("field_name", "key").agg(F.collect_list(F.struct("segment", "n")).alias("parts"))
     if state is None:
         state = arrived.sparkSession.createDataFrame([], STATE_SCHEMA)
     keyed = parts.join(state.select("field_name", "key", "n_arrived", "n_pending"), ["field_name", "key"], "full").join(timeline(index, since, until).drop("listings"), "key", "left")
@@ -128,7 +133,7 @@ def settle(state: DataFrame | None, arrived: DataFrame, index: DataFrame, since:
     late = F.filter(F.array(F.struct(_moment(since).alias("at"), F.col("before").alias("on"), old.alias("n"))), lambda x: (x["n"] > 0) & (x["on"] != (F.col("n_pending") == 0)))
     events = F.concat(late, F.transform("changes", lambda c, i: F.struct(c["at"].alias("at"), c["on"].alias("on"), so_far(i).alias("n"))))
     flows = keyed.select("field_name", F.inline(events)).filter("n > 0").select(F.date_format("at", "yyyy-MM").alias("month"), "field_name", move(F.col("on")).alias("move"), "n")
-    news = counted.filter(F.col("kind").isNotNull()).select("month", "field_name", F.concat(F.lit("opened_"), F.col("kind")).alias("move"), "n")
+    news = dated.filter(F.col("kind").isNotNull()).select("month", "field_name", F.concat(F.lit("opened_"), F.col("kind")).alias("move"), "n")
     moves = news.unionByName(flows).groupBy("month", "field_name", "move").agg(F.sum("n").alias("n"))
     on = F.when(F.size("changes") > 0, F.element_at("changes", -1)["on"]).otherwise(F.col("before"))
     total = so_far(F.lit(2**31 - 1))

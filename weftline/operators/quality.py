@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.enrich import BROADCAST_BYTES, lookup
+from weftline.operators.standardize import labels
 
 def in_scope(df: DataFrame, condition: Column | str | None) -> DataFrame:
     """Without the rows for which the condition is false; where it is null, the row stays, for the rules to judge."""
@@ -18,9 +19,8 @@ def in_scope(df: DataFrame, condition: Column | str | None) -> DataFrame:
 def with_errors(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str] = ()) -> DataFrame:
     """Adds ``_validation_errors``: cast errors, then the names of rules that are false or null, then ``missing_key:<k>``."""
     conditions = {n: F.expr(r) if isinstance(r, str) else r for n, r in rules.items()}
-    found = [F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items()]
-    found += [F.when(F.col(f"`{k}`").isNull(), F.lit(f"missing_key:{k}")) for k in key]
-    errors = F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast("array<string>")
+    found = {n: ~F.coalesce(c, F.lit(False)) for n, c in conditions.items()} | {f"missing_key:{k}": F.col(f"`{k}`").isNull() for k in key}
+    errors = labels(found)
     return df.withColumn("_validation_errors", F.concat("_cast_errors", errors) if "_cast_errors" in df.columns else errors)
 
 

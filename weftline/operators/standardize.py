@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.spec import standard_names
@@ -21,6 +21,11 @@ def sanitised(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.translate(str.maketrans(" ", "_", "();")) for c in df.columns))
 
 
+def labels(found: Mapping[str, Column]) -> Column:
+    """Array of the labels whose condition holds, in order. Without a lambda, as lambdas and all in them run interpreted."""
+    return F.array_remove(F.array(*(F.when(c, n).otherwise("") for n, c in found.items())), "") if found else F.array().cast("array<string>")
+
+
 def safe_cast(df: DataFrame, casts: Mapping[str, str], errors: str = "_cast_errors") -> DataFrame:
     """Casts what can be cast, in one projection; ``errors`` lists ``invalid_type:<column>`` for each value that can't.
 
@@ -30,8 +35,7 @@ def safe_cast(df: DataFrame, casts: Mapping[str, str], errors: str = "_cast_erro
     if missing:
         raise ValueError(f"missing cast columns: {missing}")
     tried = {c: F.col(f"`{c}`").try_cast(t) for c, t in casts.items()}
-    failed = [F.when(F.col(f"`{c}`").isNotNull() & v.isNull(), F.lit(f"invalid_type:{c}")) for c, v in tried.items()]
-    found = F.filter(F.array(*failed), lambda e: e.isNotNull()) if failed else F.array().cast("array<string>")
+    found = labels({f"invalid_type:{c}": F.col(f"`{c}`").isNotNull() & v.isNull() for c, v in tried.items()})
     return df.select(*(tried[c].alias(c) if c in tried else F.col(f"`{c}`") for c in df.columns), found.alias(errors))
 
 

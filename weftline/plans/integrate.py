@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.columns import hour_bucket
 from weftline.operators import enrich
+from weftline.sources.shared import together
 
 MEASURES = {"temperature_c": "temperature_c", "humidity_pct": "relative_humidity_pct", "precipitation_mm": "precipitation_mm", "weather_code": "weather_condition_code"}
 #: Of the first end alone.
@@ -52,7 +54,8 @@ def context(zones: DataFrame, weather: DataFrame, readings: DataFrame, digits: i
     air = air_levels(readings, digits=digits)
     hours = hourly_weather(weather).withColumn("has_weather", F.lit(True))
     hours = hours.join(air.city.withColumnRenamed("air_hour", "hour"), "hour", "full")
-    return Context(enrich.lookup(zones.select("location_id", "borough", "zone", "service_zone")), enrich.lookup(hours), enrich.lookup(air.borough))
+    places = zones.select("location_id", "borough", "zone", "service_zone")
+    return Context(*together(*(partial(enrich.lookup, df) for df in (places, hours, air.borough))))
 
 
 def with_context(trips: DataFrame, end: str, at: Column, known: Context, more: bool) -> DataFrame:

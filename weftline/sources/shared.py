@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import TypeVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
+
+
 def ensure_shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; a local one is set only where none is, as in tests on one machine.
 
@@ -34,6 +39,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def together(*makes: Callable[[], T]) -> list[T]:
+    """Results of functions that each start jobs of their own, run side by side: small jobs leave most of a cluster idle."""
+    with ThreadPoolExecutor(len(makes)) as pool:
+        return [f.result() for f in [pool.submit(m) for m in makes]]
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -97,8 +97,9 @@ class OrphanTracker:
         index = lookup(index)
         self.store.append(orphans.arrivals(refs, index, cuts), f"{self.name}/arrivals", span)
         arrived, moves = self._read("arrivals", span), []
+        counts = kept(orphans.counted(arrived))
         for i, (since, until) in enumerate(zip(cuts, cuts[1:])):
-            settled = kept(orphans.settle(state, arrived.filter(F.col("period") == i), index, since, until))
+            settled = kept(orphans.settle(state, counts.filter(F.col("period") == i), index, since, until))
             state = orphans.state_of(settled)
             moves.append(orphans.moves_of(settled))
         self.store.append(reduce(DataFrame.unionAll, moves), f"{self.name}/moves", span)
