@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from city import catalogue
+from city.grid_orphans import FIELDS
+from weftline.operators import orphans
 
 CORE = catalogue.queries()
 
@@ -44,6 +46,8 @@ def test_entry(spark):
 
 
 def test_scans_read_only_what_they_need(spark, small):
-    plan = CORE["p3_found"](spark, small)._jdf.queryExecution().executedPlan().toString()
-    scan = next(x for x in plan.split("FileScan")[1:] if "taxi_trips" in x)
-    assert "row_id" in scan and "fare_amount" not in scan
+    trips, zones = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("taxi_trips", "taxi_zones"))
+    refs, index = orphans.references(trips, "row_id", FIELDS, "ingestion_timestamp"), orphans.parent_index(zones, "location_id", "listed_at", "delisted_at")
+    plan = orphans.arrivals(refs, index, [None, "2024-02-01 00:00:00", None])._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan")[1:] if "taxi_trips" in x]
+    assert len(scans) == 1 and "row_id" in scans[0] and "fare_amount" not in scans[0] and "SortMergeJoin" not in plan
