@@ -106,14 +106,14 @@ def test_keys(spark):
     assert [r[0] for r in df.select(C.mapped(F.col("b"), {"x": 1})).collect()] == [None, 1]
 
 
-@pytest.mark.parametrize("most", [1 << 20, 10])
-def test_one_key_and_identical_rows_hold_most(spark, most):
-    """By a broadcast of the keys that occur twice, and by a shuffle where they are too large for that."""
+@pytest.mark.parametrize(("most", "small"), [(1 << 20, 0), (10, 0), (0, 1 << 70)])
+def test_one_key_and_identical_rows_hold_most(spark, most, small):
+    """By a broadcast of the keys that occur twice, by a shuffle where they are too large for that, and by a window over a small table."""
     rows = [("hot", "x", 5.0, 1.0)] * 900 + [("hot", "bad", 5.0, 0.0)] * 50 + [(f"k{i % 20}", "x", 5.0, float(i)) for i in range(100)]
     df = trips(spark, rows).repartition(11)
-    kept = quality.accepted(quality.classified(df, RULES, ["id"], ("tip",), most)).select("id", "tip").collect()
+    kept = quality.accepted(quality.classified(df, RULES, ["id"], ("tip",), most, small)).select("id", "tip").collect()
     assert sorted(map(tuple, kept)) == sorted([("hot", 1.0), *((f"k{i}", float(i)) for i in range(20))])
-    t = quality.totals(quality.classified(df, RULES, ["id"], ("tip",), most)).first()
+    t = quality.totals(quality.classified(df, RULES, ["id"], ("tip",), most, small)).first()
     assert tuple(t) == (1050, 21, 1029, 979)
 
 
@@ -121,10 +121,13 @@ def test_rows_stay_where_they_are(spark, tmp_path):
     """Only keys travel: without ties no row of the table is shuffled or sorted."""
     trips(spark, [(f"k{i % 50}", "x", 5.0, float(i)) for i in range(100)]).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    out = quality.classified(df, RULES, ["id"], ("tip",))
+    out = quality.classified(df, RULES, ["id"], ("tip",), small=0)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "BroadcastExchange" in plan and "Sort" not in plan and "Window" not in plan
     assert sorted(r["tip"] for r in quality.accepted(out).collect()) == [float(i) for i in range(50)]
+    whole = quality.classified(df, RULES, ["id"], ("tip",))
+    assert "Window" in whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, whole.collect())) == sorted(map(str, out.select(whole.columns).collect()))
 
 
 def test_order_of_nulls_and_several_columns(spark):

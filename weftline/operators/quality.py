@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.enrich import BROADCAST_BYTES, lookup
 from weftline.operators.standardize import labels
+from weftline.sources.readers import SMALL_BYTES, estimated_bytes
 
 def in_scope(df: DataFrame, condition: Column | str | None) -> DataFrame:
     """Without the rows for which the condition is false; where it is null, the row stays, for the rules to judge."""
@@ -38,7 +39,34 @@ def _order(df: DataFrame, tie_break: Sequence[str] | None) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in tie_break))
 
 
-def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str], tie_break: Sequence[str] | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+def _ranked_whole(checked: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Ranks by one window over whole rows; those that aren't valid are alone."""
+    alone = F.when(F.col("_valid"), -1).otherwise(F.monotonically_increasing_id())
+    rank = F.row_number().over(Window.partitionBy(*(F.col(f"`{k}`") for k in key), alone).orderBy("_order"))
+    return checked.withColumn("_duplicate_rank", F.when(F.col("_valid") & (rank > 1), 2).otherwise(1))
+
+
+def _ranked(checked: DataFrame, key: Sequence[str], most: int) -> DataFrame:
+    """Ranks by the first order of each key that occurs twice."""
+    names = [f"_k{i}" for i in range(len(key))]
+    orders = checked.filter("_valid").groupBy(*(F.col(f"`{k}`").alias(n) for k, n in zip(key, names)), "_order").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = orders.groupBy(*names).agg(F.min("_order").alias("_first"), F.min_by("_n", "_order").alias("_ties"), F.sum("_n").alias("_n")).filter("_n > 1").drop("_n")
+    firsts = lookup(firsts, most)
+    joined = checked.join(firsts, [F.col(f"`{k}`") == F.col(n) for k, n in zip(key, names)], "left").drop(*names)
+    leads = F.col("_first").isNull() | (F.col("_order") == F.col("_first"))
+    tied = F.col("_valid") & F.coalesce((F.col("_order") == F.col("_first")) & (F.col("_ties") > 1), F.lit(False))
+    rank = F.when(~F.col("_valid") | leads, 1).otherwise(2)
+    if firsts.filter("_ties > 1").isEmpty():
+        return joined.withColumn("_duplicate_rank", rank)
+    keys = [F.col(f"`{k}`") for k in key]
+    one = Window.partitionBy(*keys, "_part").orderBy("_order")
+    some = joined.filter(tied).withColumn("_leads", F.row_number().over(one) == 1)
+    of_all = F.row_number().over(Window.partitionBy(*keys, F.when(F.col("_leads"), -1).otherwise(F.col("_part"))).orderBy("_order"))
+    some = some.withColumn("_duplicate_rank", F.when(F.col("_leads") & (of_all == 1), 1).otherwise(2)).drop("_leads")
+    return joined.filter(~tied).withColumn("_duplicate_rank", rank).unionByName(some)
+
+
+def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[str], tie_break: Sequence[str] | None = None, most: int = BROADCAST_BYTES, small: int = SMALL_BYTES) -> DataFrame:
     """Adds errors, the rank among rows of the same key, and ``_rejection_reason``, null for accepted rows.
 
     Valid and invalid rows are ranked apart, so an invalid one never displaces a valid one; of valid rows of a key the
@@ -48,30 +76,15 @@ def classified(df: DataFrame, rules: Mapping[str, str | Column], key: Sequence[s
 
     Only keys and orders travel: they are counted by partial aggregation, at once, and the keys that occur twice come back
     with their first order as a lookup of measured size (see enrich.lookup), so a key may hold any share of the rows. Only
-    rows that tie for the first place are sent anywhere, in as many parts as the input has. A name of the rows that begins
-    with an underscore may be replaced.
+    rows that tie for the first place are sent anywhere, in as many parts as the input has. That judges all rows twice; the rows
+    of a table estimated below ``small`` bytes, of which no task can get too many, are judged once and ranked by a window
+    instead, with the same result. A name of the rows that begins with an underscore may be replaced.
     """
     if not key:
         raise ValueError("a key is needed")
     checked = with_errors(df, rules, key)
     checked = checked.withColumns({"_order": _order(checked, tie_break), "_valid": F.size("_validation_errors") == 0, "_part": F.spark_partition_id()})
-    names = [f"_k{i}" for i in range(len(key))]
-    orders = checked.filter("_valid").groupBy(*(F.col(f"`{k}`").alias(n) for k, n in zip(key, names)), "_order").agg(F.count(F.lit(1)).alias("_n"))
-    firsts = orders.groupBy(*names).agg(F.min("_order").alias("_first"), F.min_by("_n", "_order").alias("_ties"), F.sum("_n").alias("_n")).filter("_n > 1").drop("_n")
-    firsts = lookup(firsts, most)
-    joined = checked.join(firsts, [F.col(f"`{k}`") == F.col(n) for k, n in zip(key, names)], "left").drop(*names)
-    leads = F.col("_first").isNull() | (F.col("_order") == F.col("_first"))
-    tied = F.col("_valid") & F.coalesce((F.col("_order") == F.col("_first")) & (F.col("_ties") > 1), F.lit(False))
-    rank = F.when(~F.col("_valid") | leads, 1).otherwise(2)
-    if firsts.filter("_ties > 1").isEmpty():
-        ranked = joined.withColumn("_duplicate_rank", rank)
-    else:
-        keys = [F.col(f"`{k}`") for k in key]
-        one = Window.partitionBy(*keys, "_part").orderBy("_order")
-        some = joined.filter(tied).withColumn("_leads", F.row_number().over(one) == 1)
-        of_all = F.row_number().over(Window.partitionBy(*keys, F.when(F.col("_leads"), -1).otherwise(F.col("_part"))).orderBy("_order"))
-        some = some.withColumn("_duplicate_rank", F.when(F.col("_leads") & (of_all == 1), 1).otherwise(2)).drop("_leads")
-        ranked = joined.filter(~tied).withColumn("_duplicate_rank", rank).unionByName(some)
+    ranked = _ranked_whole(checked, key) if estimated_bytes(checked) < small else _ranked(checked, key, most)
     reason = F.when(~F.col("_valid"), F.array_join("_validation_errors", ";")).when(F.col("_duplicate_rank") > 1, "duplicate_key")
     return ranked.withColumn("_rejection_reason", reason).drop("_valid", "_part", "_order", "_first", "_ties")
 

@@ -53,16 +53,18 @@ def view(df: DataFrame, prefix: str = "v") -> Iterator[str]:
 
 
 #: A table of fewer bytes may be a single row group, hence a single task.
-SPREAD_BYTES = 64 << 20
+SMALL_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's own estimate, for files that of the columns read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt out over all cores, for work that costs more than the reading; a large one, of many tasks, as it is.
-
-    The size is the optimiser's own estimate, for files that of the columns read; rows are the same either way.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+    Rows are the same either way."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) < SMALL_BYTES else df
 
 
 def inventory(spark: SparkSession, path: str) -> dict[str, int]:
