@@ -200,7 +200,7 @@ def with_group_mean(df: DataFrame, group: Sequence[Column], value: Column, name:
     """Adds the mean of a value over the rows of a like group, null where no row of it has one; null keys form no group. A
     column that already has the name is replaced.
 
-    The means are summed before their shuffle. Up to a counted number of groups they are broadcast, so that the rows
+
     aren't shuffled; beyond it they are joined by a shuffle.
     """
     keys = [f"_g{i}" for i in range(len(group))]
