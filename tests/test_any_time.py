@@ -1,4 +1,4 @@
-"""The contracts read times in every notation of problem 1."""
+"""The specifications read times in every notation of problem 1."""
 
 from city import engine, specs
 from weftline.operators import quality

@@ -94,7 +94,7 @@ def test_lookup_with_clashing_names_and_nulls(spark):
     assert [tuple(r) for r in got] == [(1, "x", "z", True), (None, "y", None, False)]
 
 
-def test_weather_and_trip_contracts(spark):
+def test_weather_specification(spark):
     base = {"row_id": 1, "station_id": 1, "year": 2024, "month": 1, "day": 1, "hour": "12", "temperature_c": 1.0, "relative_humidity_pct": 50.0, "precipitation_mm": None, "wind_direction_deg": 0, "wind_speed_kmh": 1.0, "air_pressure_hpa": None, "cloud_cover_oktas": None, "weather_condition_code": None}
     schema = "row_id long, station_id int, year int, month int, day int, hour string, temperature_c double, relative_humidity_pct double, precipitation_mm double, wind_direction_deg int, wind_speed_kmh double, air_pressure_hpa double, cloud_cover_oktas int, weather_condition_code int"
     changes = [{}, {"precipitation_mm": -1.0}, {"precipitation_mm": float("nan")}, {"air_pressure_hpa": float("inf")}, {"cloud_cover_oktas": 9}, {"weather_condition_code": -1}, {"hour": "24"}, {"hour": "x"}, {"temperature_c": None}]

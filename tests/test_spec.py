@@ -56,7 +56,7 @@ def test_loads_yaml(tmp_path):
     assert Platform.load(str(path)).datasets["zones"].sql("location_id > :least") == "location_id > 0"
 
 
-def test_contracts_are_valid():
+def test_specifications_are_valid():
     assert {n: f("/x").name for n, f in specs.ALL.items()} == {n: n for n in specs.ALL}
 
 

@@ -200,8 +200,7 @@ def with_group_mean(df: DataFrame, group: Sequence[Column], value: Column, name:
     """Adds the mean of a value over the rows of a like group, null where no row of it has one; null keys form no group. A
     column that already has the name is replaced.
 
-
-    aren't shuffled; beyond it they are joined by a shuffle.
+    The means are summed before their shuffle and joined as a lookup of measured size (see enrich.lookup).
     """
     keys = [f"_g{i}" for i in range(len(group))]
     keyed = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (*keys, name)), *(g.alias(k) for g, k in zip(group, keys)))
@@ -213,7 +212,7 @@ def with_nested_means(df: DataFrame, keys: Mapping[str, Column], value: Column,
     """Adds several means over like groups by one join: each level's group is made of the named keys.
 
     Sums per combination of the keys come first; the levels are summed from these, and rows are joined once on all keys,
-    null ones included, by a broadcast as in with_group_mean. A level with a null key gets null; columns that already have one of the names are replaced.
+    null ones included, by a lookup as in with_group_mean. A level with a null key gets null; columns that already have one of the names are replaced.
     """
     own = [f"_g{i}" for i in range(len(keys))]
     base = df.groupBy(*(k.alias(n) for n, k in keys.items())).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
